@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import chat, decontaminate, mixing, quality, secrets, sharding, simhash, toxicity
 from .common import materialise, table
 
 
+#: A conversation whose texts hold what templates use as marks.
+MARKS = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)], given.schema)
+    return chat.digests(chat.format_windows(given.unionByName(own)))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,6 +44,10 @@ def op7_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copies", "copy_no", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
@@ -46,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_simhash_components, op5_benchmark_decontamination, op7_kd_tree_shards, op9_poisson_mixture, op10_toxicity]
+    own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op5_benchmark_decontamination, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
