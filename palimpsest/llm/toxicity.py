@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
 
@@ -105,38 +107,43 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _chosen(rows: DataFrame, n0: int, n1: int, params: Params) -> list[str]:
+    """The features whose share differs most between the classes, by the z statistic of two proportions; ties by name."""
+    seen = rows.select("toxic", F.explode(F.split("features", " ")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    share = (F.col("a") + F.col("b")) / F.lit(float(n0 + n1))
+    z = F.abs(F.col("a") / float(n1) - F.col("b") / float(n0)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    best = seen.where(F.col("f") != "").where(F.col("a") + F.col("b") >= params.least_documents).withColumn("z", z).where(F.col("z") >= params.least_z)
+    return [r["f"] for r in best.orderBy(F.desc("z"), "f").limit(params.features).select("f").collect()]
+
+
 def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     sample, counts = labelled_sample(labels, params.rows_per_class)
     if len(counts) < 2:
         return Model({}, 8.0 if counts.get(1) else -8.0 if counts else 0.0)
     # at most 2 * rows_per_class small rows, so a broadcast is safe
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_featurised, "toxic int, features string, lost string, gained string").toArrow()
-    y = np.array(rows.column("toxic").to_pylist(), dtype=float)
-    docs = [set(s.split()) for s in rows.column("features").to_pylist()]
-    moved = [[(f, s) for s, c in ((-1.0, "lost"), (1.0, "gained")) for f in text[c].split()] for text in rows.select(["lost", "gained"]).to_pylist()]
-    if not 0 < y.sum() < len(y):
-        return Model({}, 8.0 if y.sum() else -8.0)
-
-    seen: dict[str, list[int]] = {}
-    for i, d in enumerate(docs):
-        for f in d:
-            seen.setdefault(f, [0, 0])[int(y[i])] += 1
-    n1 = y.sum()
-    n0 = len(y) - n1
-
-    def z(f: str) -> float:
-        b, a = seen[f]
-        p = (a + b) / (n0 + n1)
-        return (a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-
-    chosen = sorted((f for f, (b, a) in seen.items() if a + b >= params.least_documents and abs(z(f)) >= params.least_z), key=lambda f: (-abs(z(f)), f))[: params.features]
-    at = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *TERMS]))}
-
-    rows_x = np.array([i for i, d in enumerate(docs) for f in d if f in at], dtype=np.int64)
-    cols_x = np.array([at[f] for d in docs for f in d if f in at], dtype=np.int64)
-    moves = [(i, at[f], s) for i, m in enumerate(moved) for f, s in m if f in at]
-    rows_m, cols_m = (np.array([m[k] for m in moves], dtype=np.int64) for k in (0, 1))
-    sign = np.array([m[2] for m in moves])
+    rows = materialise(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_featurised, "toxic int, features string, lost string, gained string"))
+    n1, n0 = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    if not n1 or not n0:
+        return Model({}, 8.0 if n1 else -8.0)
+
+    at = {f: i for i, f in enumerate(dict.fromkeys([*_chosen(rows, n0, n1, params), *TERMS]))}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [[[at[f] for f in x.split(" ") if f in at] for x in b.column(c).to_pylist()] for c in ("features", "lost", "gained")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *[pa.array(x, pa.list_(pa.int32())) for x in own]], names=["toxic", "features", "lost", "gained"])
+
+    table = rows.mapInArrow(numbered, "toxic int, features array<int>, lost array<int>, gained array<int>").toArrow().combine_chunks()
+    y = table.column("toxic").to_numpy().astype(float)
+
+    def pairs(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = table.column(name)
+        return np.repeat(np.arange(len(y)), np.array([len(x) for x in lists], dtype=np.int64)), np.array([i for x in lists.to_pylist() for i in x], dtype=np.int64)
+
+    rows_x, cols_x = pairs("features")
+    (rows_l, cols_l), (rows_g, cols_g) = pairs("lost"), pairs("gained")
+    rows_m, cols_m = np.concatenate([rows_l, rows_g]), np.concatenate([cols_l, cols_g])
+    sign = np.concatenate([-np.ones(len(rows_l)), np.ones(len(rows_g))])
     weight = np.where(y > 0, counts[1] / n1, counts[0] / n0)
     weight = weight / weight.sum()
 
@@ -146,9 +153,9 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params = Params()) -> M
     for t in range(1, params.steps + 1):
         p = 1 / (1 + np.exp(-(np.bincount(rows_x, w[cols_x], len(y)) + b)))
         g = weight * (p - y)
-        change = np.bincount(rows_m, sign * w[cols_m], len(y)) if len(moves) else np.zeros(len(y))
+        change = np.bincount(rows_m, sign * w[cols_m], len(y)) if len(rows_m) else np.zeros(len(y))
         gw = np.bincount(cols_x, g[rows_x], k) + params.l2 * w
-        if len(moves):
+        if len(rows_m):
             gw += 2 * params.counterfactual * np.bincount(cols_m, sign * (weight * change)[rows_m], k)
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
