@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, secrets, sharding, simhash, toxicity
+from . import chat, decontaminate, mixing, quality, secrets, sharding, simhash, suffix_dedup, toxicity
 from .common import materialise, table
 
 
@@ -31,6 +31,10 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op5_benchmark_decontamination, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
+    own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op4_suffix_dedup, op5_benchmark_decontamination, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
