@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, secrets, sharding, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, toxicity
 from .common import materialise, table
 
 
@@ -39,6 +39,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     placed = sharding.kd_shards(documents, shards=24).select(
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op4_suffix_dedup, op5_benchmark_decontamination, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
+    own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op4_suffix_dedup, op5_benchmark_decontamination, op6_personal_data, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
