@@ -149,9 +149,10 @@ def roots_of(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
 
 def _segment_links(limit: int):
     def run(frame: pa.Table) -> pa.Table:
-        fps = frame.column("fp").to_numpy().view(np.uint64)
-        inside = frame.column("inside").to_numpy(zero_copy_only=False)
-        members, visitors = fps[inside], fps[~inside]
+        parts: dict[bool, list[np.ndarray]] = {True: [np.zeros(0, np.int64)], False: [np.zeros(0, np.int64)]}
+        for fps, inside in zip(frame.column("fps"), frame.column("inside").to_pylist()):
+            parts[inside].append(fps.values.to_numpy())
+        members, visitors = (np.concatenate(parts[k]).view(np.uint64) for k in (True, False))
         members = members[np.argsort(gray_ranks(members))]
         every = np.concatenate([members, visitors])
         root = roots_of(len(every), GrayIndex(members, members).search(every, limit))
@@ -161,30 +162,52 @@ def _segment_links(limit: int):
     return run
 
 
-def links(fps: DataFrame, limit: int = MAX_BITS, segment_rows: int = 8192, max_segments: int = 65536) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct fingerprints `fp` within `limit` bits."""
+def links(fps: DataFrame, limit: int = MAX_BITS, segment_rows: int = 65536, least_segments: int = 12, max_segments: int = 65536) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of distinct fingerprints `fp` within `limit` bits.
+
+    A segment is a range of Gray ranks.  Each batch of fingerprints sends one list to each segment that it must visit.
+    """
     spark = fps.sparkSession
     n = fps.count()
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
-    parts = min(max_segments, -(-n // segment_rows))
-    ranked = fps.select("fp", gray_rank("fp").alias("rank")).repartitionByRange(parts, "rank")
-    ranked = materialise(ranked.select("fp", F.spark_partition_id().alias("segment")))
-    nodes = ranked.groupBy("segment").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("segment").toPandas()
+    parts = min(max_segments, max(least_segments, -(-n // segment_rows)))
+    cuts = fps.select(gray_rank("fp").cast("double").alias("rank")).approxQuantile("rank", [k / parts for k in range(1, parts)], 0.1 / parts)
+    bounds = np.unique(np.array(cuts, dtype=np.float64))  # max_segments numbers at most, from a sketch
+
+    def segment_of(own: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bounds, (gray_ranks(own) ^ np.uint64(1 << 63)).view(np.int64).astype(np.float64), side="right").astype(np.int32)
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("fp").to_numpy().view(np.uint64)
+            order = np.argsort(segment := segment_of(own), kind="stable")
+            number, starts = np.unique(segment[order], return_index=True)
+            if len(own):
+                both = [f.reduceat(own[order], starts).view(np.int64) for f in (np.bitwise_and, np.bitwise_or)]
+                yield pa.RecordBatch.from_arrays([pa.array(number), *map(pa.array, both)], names=["segment", "low", "high"])
+
+    found = fps.select("fp").mapInArrow(patterns, "segment int, low long, high long").groupBy("segment").agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"))
+    nodes = found.toPandas().sort_values("segment")
     low, high = (nodes[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("low", "high"))
-    number = nodes["segment"].to_numpy(dtype=np.int32)  # max_segments rows at most
+    number = nodes["segment"].to_numpy(dtype=np.int32)  # a row for each segment
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = GrayIndex(low, high)
         for b in batches:
-            own_fp, own_segment = b.column("fp").to_numpy(), b.column("segment").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(own_segment), pa.array(own_fp), pa.array(np.ones(len(own_fp), bool))], names=["segment", "fp", "inside"])
-            for q, node in index.search(own_fp.view(np.uint64), limit):
-                later = number[node] > own_segment[q]  # a pair meets in the later of its segments
-                q, node = q[later], node[later]
-                yield pa.RecordBatch.from_arrays([pa.array(number[node]), pa.array(own_fp[q]), pa.array(np.zeros(len(q), bool))], names=["segment", "fp", "inside"])
-
-    sent = ranked.mapInArrow(visits, "segment int, fp long, inside boolean")
+            own = b.column("fp").to_numpy()
+            segment = segment_of(own.view(np.uint64))
+            sent = [(segment, np.arange(len(own)), True)]
+            for q, node in index.search(own.view(np.uint64), limit):
+                later = number[node] > segment[q]  # a pair meets in the later of its segments
+                sent.append((number[node][later], q[later], False))
+            for to, q, inside in sent:
+                order = np.argsort(to, kind="stable")
+                target, starts = np.unique(to[order], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(own[q[order]]))
+                yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), lists, pa.array(np.full(len(target), inside))], names=["segment", "fps", "inside"])
+
+    sent = fps.select("fp").mapInArrow(visits, "segment int, fps array<long>, inside boolean")
     return sent.groupBy("segment").applyInArrow(_segment_links(limit), "a long, b long")
 
 
