@@ -52,7 +52,7 @@ def poisson_table(rates: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, total: float | None = None, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """documents' rows, each as often as drawn, in random order, with rate, copies, copy_no (from 0) and mix_key (the order)."""
+    """documents' rows, each as often as drawn, in random places and order, with rate, copies, copy_no (from 0) and mix_key (the order)."""
     documents = replace_columns(documents, ADDED)
     # the sources of a mixture are a short list, but that isn't proven: Spark broadcasts them by their measured size or else joins by key
     table = poisson_table(repetition_rates(documents, weights, temperature, total)).withColumnRenamed("source", "mix_source").drop("n")
@@ -61,4 +61,4 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperatu
     copied = drawn.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     copied = copied.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))
     n = [partitions] if partitions else []
-    return copied.repartitionByRange(*n, "mix_key", "copy_no").sortWithinPartitions("mix_key", "copy_no")
+    return copied.repartition(*n, "mix_key").sortWithinPartitions("mix_key", "copy_no")
