@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that take no room on the page.
-ZERO_WIDTH = ("​", "‌", "‍", "⁠", "﻿", "­")
+ZERO_WIDTH = ("\u200b", "\u200c", "\u200d", "\u2060", "\ufeff", "\u00ad")
 #: Characters that reorder what is shown.
-BIDI = ("‪", "‫", "‬", "‭", "‮", "⁦", "⁧", "⁨", "⁩")
+BIDI = ("\u202a", "\u202b", "\u202c", "\u202d", "\u202e", "\u2066", "\u2067", "\u2068", "\u2069")
 SPACE = r"(?U)\s+"
 WORD_CLASS = r"\p{L}\p{N}_"
 
@@ -78,24 +79,38 @@ QUALIFIER = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds a value, so that a body which mentions it several times has it computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def title_case(text: Column) -> Column:
     """Capitals where a letter follows no letter, as in Python (Spark's initcap looks at blanks only)."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    cased = F.transform(letters, lambda c, i: F.when((i > 0) & F.coalesce(F.get(letters, i - 1), F.lit("")).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c)))
-    return F.array_join(cased, "")
+
+    def cased(letters: Column) -> Column:
+        after_letter = lambda i: (i > 0) & F.coalesce(F.get(letters, i - 1), F.lit("")).rlike(r"\p{L}")
+        return F.array_join(F.transform(letters, lambda c, i: F.when(after_letter(i), F.lower(c)).otherwise(F.upper(c))), "")
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), cased)
 
 
 def skill_label(text: Column) -> Column:
     """A short label for a requirement."""
-    whole = strip(text)
-    rest = strip(F.regexp_replace(whole, QUALIFIER, ""))
-    label = F.when(rest == "", whole).otherwise(rest)
-    for cut in (",", ";", "(", " - ", " -- "):
-        label = strip(F.substring_index(label, cut, 1))
-    words = F.filter(F.split(label, SPACE), lambda w: w != "")
-    label = F.when(F.size(words) > 4, F.array_join(F.slice(words, 1, 4), " ")).otherwise(label)
-    shown = F.when(F.char_length(label) <= 30, title_case(label)).otherwise(strip(F.substring(label, 1, 30)))
-    return F.when(text.isNull() | (text == ""), F.lit("Requirement")).otherwise(shown)
+
+    def cut(whole: Column, rest: Column) -> Column:
+        label = F.when(rest == "", whole).otherwise(rest)
+        for mark in (",", ";", "(", " - ", " -- "):
+            label = strip(F.substring_index(label, mark, 1))
+        return label
+
+    def four_words(label: Column) -> Column:
+        return let(F.filter(F.split(label, SPACE), lambda w: w != ""), lambda words: F.when(F.size(words) > 4, F.array_join(F.slice(words, 1, 4), " ")).otherwise(label))
+
+    def shown(label: Column) -> Column:
+        return F.when(F.char_length(label) <= 30, title_case(label)).otherwise(strip(F.substring(label, 1, 30)))
+
+    label = let(strip(text), lambda whole: let(strip(F.regexp_replace(whole, QUALIFIER, "")), lambda rest: cut(whole, rest)))
+    return F.when(text.isNull() | (text == ""), F.lit("Requirement")).otherwise(let(let(label, four_words), shown))
 
 
 #: Boilerplate families and their patterns.

@@ -7,23 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import gaps, scoring
 from ..sources.adapters import Tables
+from .common import Plan, doubles as _doubles
 from .oracle import sql, tenths
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def _doubles(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("double") for n in names})
+PLAN = Plan()
+query = PLAN.query
 
 
 def scored(t: Tables) -> DataFrame:
@@ -80,10 +68,6 @@ def gap_items(t):
     return _doubles(out, "weight", "points_available", "base_score", "projected_score")
 
 
-CANDIDATES = """select run_id, rank::int as rank, skill, category, ids, sp, sg from (
-    select *, row_number() over (partition by run_id order by points desc, ordinal) as rank from (
-        select *, row_number() over (partition by run_id, skill order by points desc, ordinal) as first, sum(points) over (partition by run_id, skill)::bigint as sp, sum(gain) over (partition by run_id, skill)::bigint as sg,
-        string_agg(requirement_id, ',' order by points desc, ordinal) over (partition by run_id, skill) as ids from items) where first = 1) where rank <= 5"""
 CANDIDATES = """select run_id, rank::int as rank, skill, category, ids, sp, sg from (
     select i.*, x.ids, x.sp, x.sg, row_number() over (partition by i.run_id order by points desc, ordinal) as rank from (
         select *, row_number() over (partition by run_id, skill order by points desc, ordinal) as first from items) i

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .plans import scores
+from .plans import documents, evidence, operations, scores, texts
 
-PLANS = [scores]
+PLANS = [scores.PLAN, documents.PLAN, evidence.PLAN, texts.PLAN, operations.PLAN]
 
 
 def queries() -> dict:
-    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+    return {name: f for plan in PLANS for name, f in plan.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for plan in PLANS for name, text in plan.ORACLE.items()}
+    return {name: text for plan in PLANS for name, text in plan.oracle.items()}

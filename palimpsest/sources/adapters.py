@@ -30,7 +30,7 @@ class Tables:
         h = lambda m: F.col("h") % m
         line, tail = F.col("line"), F.substring("line", 2, 2**30)
         lookalike = F.translate(line, "".join(LATIN_A_E), "".join(CYRILLIC_A_E))
-        text = F.when(h(73) == 0, F.concat(F.substring(line, 1, 1), F.lit("​"), tail)).when(h(73) == 1, F.concat(F.lit("‮"), line)).when(h(79) == 0, lookalike).otherwise(line)
+        text = F.when(h(73) == 0, F.concat(F.substring(line, 1, 1), F.lit("\u200b"), tail)).when(h(73) == 1, F.concat(F.lit("\u202e"), line)).when(h(79) == 0, lookalike).otherwise(line)
         x0 = F.when(h(71) == 1, 590).otherwise(72)
         y0 = 40 + 18 * (F.col("i") % 20) + F.when(h(71) == 0, 2000).otherwise(0)
         rows = self.raw_lines().select(
@@ -117,7 +117,7 @@ class Tables:
             F.when(kind == 1, F.replace(text, F.lit("\n"), F.lit("\r\n")))
             .when(kind == 2, F.concat(text, F.lit("\n\n\n\nEnd.")))
             .when(kind == 3, F.concat(text, F.lit("\nWe are an equal opportunity employer.")))
-            .when(kind == 4, F.concat(F.lit("a​b‮c "), text))
+            .when(kind == 4, F.concat(F.lit("a\u200bb\u202ec "), text))
             .when(F.col("doc_id") % 100 == 5, F.lit(" \n "))
             .otherwise(text)
         )
