@@ -9,45 +9,45 @@ from pyspark.sql import functions as F
 
 
 class Box(NamedTuple):
-    x0: Column
-    y0: Column
-    x1: Column
-    y1: Column
+    x0: Column | str
+    y0: Column | str
+    x1: Column | str
+    y1: Column | str
 
     @classmethod
     def of(cls, *names: str) -> Box:
-        return cls(*map(F.col, names))
+        """A box of named columns; names are resolved on use, so this needs no session."""
+        return cls(*names)
 
     @property
-    def width(self) -> Column:
-        return F.greatest(self.x1 - self.x0, F.lit(0.0))
-
-    @property
-    def height(self) -> Column:
-        return F.greatest(self.y1 - self.y0, F.lit(0.0))
+    def columns(self) -> Box:
+        return Box(*(F.col(c) if isinstance(c, str) else c for c in self))
 
     @property
     def area(self) -> Column:
-        return self.width * self.height
+        x0, y0, x1, y1 = self.columns
+        return F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
 
     def intersection_area(self, other: Box) -> Column:
-        common = Box(F.greatest(self.x0, other.x0), F.greatest(self.y0, other.y0), F.least(self.x1, other.x1), F.least(self.y1, other.y1))
-        return common.area
+        a, b = self.columns, other.columns
+        return Box(F.greatest(a.x0, b.x0), F.greatest(a.y0, b.y0), F.least(a.x1, b.x1), F.least(a.y1, b.y1)).area
 
     def contained_fraction(self, other: Box) -> Column:
         """How much of this box lies in the other; 0 for a box without area."""
         return F.when(self.area > 0, self.intersection_area(other) / self.area).otherwise(F.lit(0.0))
 
     def union(self, other: Box) -> Box:
-        return Box(F.least(self.x0, other.x0), F.least(self.y0, other.y0), F.greatest(self.x1, other.x1), F.greatest(self.y1, other.y1))
+        a, b = self.columns, other.columns
+        return Box(F.least(a.x0, b.x0), F.least(a.y0, b.y0), F.greatest(a.x1, b.x1), F.greatest(a.y1, b.y1))
 
     def scaled(self, factor: float) -> Box:
         """Pixels to points with 72 / dpi; points to pixels with the render scale."""
-        return Box(*(c * F.lit(factor) for c in self))
+        return Box(*(c * F.lit(factor) for c in self.columns))
 
     def display(self, factor: float) -> tuple[Column, Column, Column, Column]:
         """Left, top, width and height on screen; nothing is drawn smaller than one unit."""
-        return self.x0 * factor, self.y0 * factor, F.greatest((self.x1 - self.x0) * factor, F.lit(1.0)), F.greatest((self.y1 - self.y0) * factor, F.lit(1.0))
+        x0, y0, x1, y1 = self.columns
+        return x0 * factor, y0 * factor, F.greatest((x1 - x0) * factor, F.lit(1.0)), F.greatest((y1 - y0) * factor, F.lit(1.0))
 
 
 def rgb(space: Column, c0: Column, c1: Column, c2: Column, c3: Column) -> tuple[Column, Column, Column]:

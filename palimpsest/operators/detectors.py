@@ -38,7 +38,7 @@ def round3(col: Column) -> Column:
 def finding(df: DataFrame, detector: str, severity: Column, confidence: Column, excerpt: Column, rationale: Column, place: Column | None = None, box: Box = SPAN) -> DataFrame:
     return df.select(
         "doc_id", F.concat_ws("/", "doc_id", F.lit(detector), "page", F.col("span_no") if place is None else place).alias("finding_id"), F.lit(detector).alias("detector_id"), F.lit(NAMES[detector[:2]]).alias("detector_name"),
-        severity.alias("severity"), confidence.cast("double").alias("confidence"), "page", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))], excerpt.alias("excerpt"), rationale.alias("rationale"),
+        severity.alias("severity"), confidence.cast("double").alias("confidence"), "page", *[c.alias(n) for c, n in zip(box.columns, ("x0", "y0", "x1", "y1"))], excerpt.alias("excerpt"), rationale.alias("rationale"),
     ).withColumn("detector_id", F.substring("detector_id", 1, 2))
 
 

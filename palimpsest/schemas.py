@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql.types import StructType
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -23,4 +25,13 @@ DDL = {
     "call_facts": "call_id long, user_id long, purpose string, run_id long, job_id long, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, latency_ms long, outcome string, attempt int, created_at timestamp",
     "state_events": "run_id long, event_id long, ts timestamp, state string, impact_delta double, failure_code string",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+
+
+def schema(name: str) -> StructType:
+    return StructType.fromDDL(DDL[name])
+
+
+def names(name: str) -> list[str]:
+    """The columns of a table; needs no session."""
+    flat = re.sub(r"<[^>]*>", "", DDL[name])
+    return [column.split()[0] for column in re.sub(r"\([^)]*\)", "", flat).split(",")]
