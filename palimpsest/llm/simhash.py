@@ -172,7 +172,8 @@ def links(fps: DataFrame, limit: int = MAX_BITS, segment_rows: int = 65536, leas
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
     parts = min(max_segments, max(least_segments, -(-n // segment_rows)))
-    cuts = fps.select(gray_rank("fp").cast("double").alias("rank")).approxQuantile("rank", [k / parts for k in range(1, parts)], 0.1 / parts)
+    wanted = [k / parts for k in range(1, parts)]
+    cuts = fps.select(gray_rank("fp").cast("double").alias("rank")).approxQuantile("rank", wanted, 0.1 / parts) if wanted else []
     bounds = np.unique(np.array(cuts, dtype=np.float64))  # max_segments numbers at most, from a sketch
 
     def segment_of(own: np.ndarray) -> np.ndarray:
