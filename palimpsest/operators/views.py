@@ -58,6 +58,16 @@ def match_view(runs: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataF
     return runs.join(told, "run_id", "left")
 
 
+def claim_details(requirements: DataFrame, claims: DataFrame, spans: DataFrame) -> DataFrame:
+    """Claims beside their requirements, decimals as doubles, defaults filled in; bbox is null unless all four sides are known."""
+    own = requirements.select("run_id", "requirement_id", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("kind", "hard_skill"), ("necessity", "required"), ("criticality", 2))])
+    known = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    place = spans.select(F.col("span_id").alias("primary_span_id"), F.col("page").alias("primary_page"), F.when(known, F.array("x0", "y0", "x1", "y1")).alias("bbox"))
+    factors = ["satisfaction", "corroboration", "integrity_factor", "evidence_quality", "weight_applied", "contribution", "confidence"]
+    told = claims.select("run_id", "requirement_id", "met", "match_type", "primary_span_id", *[F.col(c).cast("double").alias(c) for c in factors])
+    return own.join(told, ["run_id", "requirement_id"]).join(place, "primary_span_id", "left")
+
+
 def gap_view(base: DataFrame, items: DataFrame, candidates: DataFrame, combinations: DataFrame) -> DataFrame:
     """All that is known about a run's gaps in one row."""
     gaps = items.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("points_available")).alias("p"), "ordinal", "requirement_id", "skill", "category", "projected_score"))).alias("gaps"))

@@ -324,3 +324,44 @@ def score_robustness(t):
 def score_stability(t):
     rows = t.read("events").select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("attempt"), F.col("value").alias("score"), F.col("event_type").alias("judgement"))
     return metrics.stability(rows).withColumn("sd", F.round("sd", 6))
+
+
+@query(sql("""select b.run_id, b.requirement_id, 'hard_skill' as kind, b.necessity, r.criticality, met, case when met then kind else 'none' end as match_type, c / 10000.0 as corroboration, w * s * (c * g // 10000) // 100000000 / 10000.0 as contribution, p.page as primary_page,
+    case when p.page is null then null else p.x0 || '/' || p.y0 || '/' || p.x1 || '/' || p.y1 end as bbox from built b join (select requirement_id, criticality from reqs) r using (requirement_id) left join spans p on b.met and p.span_id = b.prim""", "spans", "reqs", **BUILT_PARTS))
+def claim_details(t):
+    built, _, _ = claims.build(t.requirements(), t.raw_claims(), t.spans(), grown_findings(t))
+    out = views.claim_details(t.requirements(), built, t.spans())
+    return out.select("run_id", "requirement_id", "kind", "necessity", "criticality", "met", "match_type", "corroboration", "contribution", "primary_page", F.array_join(F.col("bbox").cast("array<string>"), "/").alias("bbox"))
+
+
+LINES_OF = "select doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) as line from documents"
+
+
+@query(sql("select t.doc_id as template_id, count(distinct d.doc_id) as n_documents, min(d.doc_id) as first_doc from lines_of t join lines_of d on t.line = d.line where t.doc_id % 10 = 0 and d.doc_id % 10 <> 0 and length(t.line) >= 40 group by t.doc_id", lines_of=LINES_OF))
+def quote_leaks(t):
+    docs = t.read("documents")
+    return metrics.quote_leaks(docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("template_id"), F.col("text").alias("body")), docs.where("doc_id % 10 <> 0").select("doc_id", "text"))
+
+
+@query(sql("select metric, before, after, after - before as change, coalesce(after - before < -0.02, true) as regressed from (select event_type as metric, (count(*) filter (event_id % 2 = 0))::double as before, (count(*) filter (event_id % 2 = 1))::double as after from events group by event_type)"))
+def delta_gate(t):
+    half = lambda k: t.read("events").where(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    return metrics.delta_gate(half(0), half(1))
+
+
+@query(sql("select user_id, event_id, list_has_all(['view', 'click'], kinds) as known, len(kinds) / 5.0 as jaccard from (select user_id, min(event_id) as event_id, list(distinct event_type) as kinds from events group by user_id)"))
+def set_agreement(t):
+    """How alike the set of a user's event types and the full set are."""
+    kinds = t.read("events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.collect_set("event_type").alias("kinds"))
+    rows = kinds.withColumn("every", F.array(*[F.lit(k) for k in ("signup", "view", "click", "purchase", "error")]))
+    known = F.size(F.array_except("kinds", F.array(F.lit("view"), F.lit("click")))) == 0
+    return rows.select("user_id", "event_id", known.alias("known"), metrics.jaccard(rows, "kinds", "every").alias("jaccard"))
+
+
+@query(sql("select job_id, n_truth, n_said, matched, round(matched / n_said, 9) as precision, round(matched / n_truth, 9) as recall from (select l_orderkey as job_id, count(*) as n_truth, count(*) filter (l_linenumber % 3 > 0) as n_said, count(*) filter (l_linenumber % 3 > 0) as matched from (select distinct l_orderkey, l_linenumber from lineitem) group by l_orderkey) where n_said > 0"))
+def extraction_quality(t):
+    """Requirements found again by their words: every third is left out of what is said."""
+    rows = t.read("lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("ordinal")).distinct()
+    named = rows.select("job_id", "ordinal", F.concat(F.lit("skill number w"), "ordinal", F.lit(" of v"), "ordinal", F.lit(" and u"), "ordinal").alias("text"), F.lit("required").alias("necessity"), F.lit(2).alias("criticality"))
+    out = metrics.extraction_quality(named, named.where("ordinal % 3 > 0"), least=0.9)
+    return out.where("n_said > 0").select("job_id", "n_truth", "n_said", "matched", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
