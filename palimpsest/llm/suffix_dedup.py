@@ -134,9 +134,13 @@ def suffixes(documents: DataFrame, p: Params) -> DataFrame:
 
 
 def doubled(found: DataFrame) -> DataFrame:
-    """The suffixes that are not unique at twice the step: ranks at growing offsets, unique ones dropped after each round."""
+    """The suffixes that are not unique at twice the step: ranks at growing offsets, unique ones dropped after each round.
+
+    The shared ranks are written down before the join, so that both of its sides are plain shuffles and a rank that very many suffixes
+    have is split over tasks.
+    """
     for pair in (["r1"], ["r1", "r2"]):
-        shared = found.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        shared = materialise(found.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
         found = materialise(found.join(shared, pair))
     return found
 
@@ -146,7 +150,8 @@ def past_threshold(found: DataFrame) -> DataFrame:
     block = ["r1", "r2", "b1", "b2"]
     blocks = found.groupBy(*block).agg(F.count("*").alias("n"))
     groups = blocks.groupBy("r1", "r2").agg(((F.count("*") > 1) & (F.min("n") == 1)).alias("open"))
-    return found.join(blocks.join(groups, ["r1", "r2"]), block).where("n > 1 or open")
+    told = materialise(blocks.join(groups, ["r1", "r2"]).where("n > 1 or open"))
+    return found.join(told, block)
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
