@@ -217,7 +217,7 @@ def test_suffix_dedup_of_odd_rows(which, odd, none, clashing, odd_rows):
 
 def test_decontamination_recall_against_brute_force(spark):
     rng = random.Random(11)
-    letters = "abcdefghijklmnop"
+    letters = "abcdefghijklmné"
     items = [words(rng, rng.randint(15, 50), letters) for _ in range(60)]
     rows, planted = [], set()
     for k in range(240):
