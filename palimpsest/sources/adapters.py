@@ -158,9 +158,10 @@ class Tables:
             F.col("o_orderdate").alias("created_at"),
         )
 
-    def state_events(self) -> DataFrame:
+    def state_events(self, events: DataFrame | None = None) -> DataFrame:
+        """From the events table, or from a stream of its rows."""
         state = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("view", "click"), "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
-        e = self.read("events").select(F.col("user_id").alias("run_id"), "event_id", "ts", state.alias("state"), "value")
+        e = (self.read("events") if events is None else events).select(F.col("user_id").alias("run_id"), "event_id", "ts", state.alias("state"), "value")
         delta = F.when((F.col("state") == "completed") & (F.col("event_id") % 2 == 0), F.col("value"))
         return e.select("run_id", "event_id", "ts", "state", delta.alias("impact_delta"), F.when(F.col("event_id") % 3 == 0, "model_error").alias("failure_code"))
 
