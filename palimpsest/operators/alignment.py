@@ -59,7 +59,9 @@ def alignment_scores(lines: DataFrame, ocr_lines: DataFrame) -> DataFrame:
         return left[["doc_id", "page", "line_no"]].assign(score=[fuzzy.best_ratio(n, found) for n in left["norm"]])
 
     open_lines = told.where("not aligned").groupBy(*PAGE)
-    rest = open_lines.cogroup(candidates.select(*PAGE, "candidate").distinct().groupBy(*PAGE)).applyInPandas(page, f"doc_id {kind}, page int, line_no int, score double")
+    # both sides may come from one table, so the right one gets columns of its own
+    right = candidates.select(*PAGE, "candidate").distinct().select(*[F.col(c).alias(c) for c in (*PAGE, "candidate")])
+    rest = open_lines.cogroup(right.groupBy(*PAGE)).applyInPandas(page, f"doc_id {kind}, page int, line_no int, score double")
     return done.unionByName(rest)
 
 

@@ -224,6 +224,18 @@ def extraction_delta_exact(t):
     return alignment.exact_alignment(alignment.comparable_lines(t.lines()), alignment.ocr_candidates(t.ocr_lines())).drop("norm")
 
 
+@query()
+def detect_extraction_delta(t):
+    lines, read = t.visual_lines()
+    pages = lines.select("doc_id", "page", F.lit(True).alias("ocr_available")).distinct()
+    return _findings(detectors.extraction_delta(detectors.PageTables(None, pages, None, lines, read)))
+
+
+@query()
+def alignment_distribution(t):
+    return alignment.score_distribution(alignment.alignment_scores(*t.visual_lines()))
+
+
 @query(sql(f"select doc_id, page, line_no, {_norm('text')} as norm from (select doc_id, page, span_no as line_no, text from spans)", "spans"))
 def comparison_form(t):
     rows = tx.nfkc_column(t.lines(), "text")
