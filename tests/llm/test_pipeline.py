@@ -37,3 +37,39 @@ def test_names():
     names = list(queries.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_near_duplicate_stage_removes_edited_copies(spark):
+    """Against brute force over five-word shingles: copies with a few words changed go, looser ones and unrelated documents stay."""
+    rng = random.Random(33)
+
+    def edited(text, n):
+        ws = text.split()
+        for at in rng.sample(range(len(ws)), n):
+            ws[at] = "edited"
+        return " ".join(ws)
+
+    def shingles(text):
+        ws = text.split()
+        return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+    base = [(i, words(rng, 200), "en", "s0", 0) for i in range(60)]
+    copies = [(1000 + 10 * i + k, edited(base[i][1], k), "en", "s0", 0) for i in range(60) for k in (1, 2, 3, 8, 20)]
+    many = [(5000 + k, edited(base[0][1], 2), "en", "s0", 0) for k in range(60)]
+    rows = base + copies + many
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    close = {d: [e for e in sets if e != d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])] for d in sets}
+    assert kept >= {d for d in sets if not close[d]} | {b[0] for b in base}
+    assert not any(e in kept for d in kept for e in close[d])
+    assert not kept & ({c[0] for c in copies if c[0] % 10 in (1, 2, 3)} | {m[0] for m in many})
+
+
+def test_near_duplicate_stage_on_odd_rows(spark, odd, none, clashing):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = stage(spark, odd, "")
+    assert kept.columns == odd.columns
+    # 1, 2, 11 and the row without an id are near copies of 0; 3 (null), 4 and 5 have no words; another text has the id 3
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 3, 6, 7, 8, 9, 10, 12]
+    assert stage(spark, none, "").count() == 0 and stage(spark, clashing, "").columns == clashing.columns
