@@ -237,6 +237,24 @@ def test_decontamination_recall_against_brute_force(spark):
     assert decontaminate.remove_contaminated(spark.createDataFrame(rows, DOCS), bench, decontaminate.Params(block_items=25)).count() == 240 - len({d for d, _ in got})
 
 
+def test_decontamination_finds_copies_at_the_limit(spark):
+    """A fifth of the words edited, the longest ones among them, by replacement, removal and insertion."""
+    rng = random.Random(12)
+    items = [words(rng, rng.choice([5, 10, 20, 35]), "abcdefghijklmn") for _ in range(80)]
+    rows = []
+    for k, text in enumerate(items):
+        item = text.split()
+        most = len(item) // 5
+        longest = sorted(range(len(item)), key=lambda o: -len(item[o]))[:most]
+        at = longest if k % 2 else rng.sample(range(len(item)), most)
+        for o in sorted(at, reverse=True):
+            rng.choice([lambda: item.pop(o), lambda: item.insert(o, "zzz"), lambda: item.__setitem__(o, "yyy")])() if k % 4 > 1 else item.__setitem__(o, item[o] + "x")
+        rows.append((k, " ".join([words(rng, 30, "pqrstuv"), *item, words(rng, 30, "pqrstuv")]), "en", "s", 0))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert got == {(k, k) for k in range(80)}
+
+
 def test_edit_distance_by_brute_force():
     rng = random.Random(2)
 
