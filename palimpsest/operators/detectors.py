@@ -68,10 +68,10 @@ def page_text(spans: DataFrame) -> DataFrame:
 def invisible(t: PageTables) -> DataFrame:
     pages = page_visibility(t.spans, t.pages, t.images).where("n_invisible > 0")
     mixed = t.spans.where("render_mode = 3").join(pages.where("not is_scan").select(*PAGE), PAGE)
-    why = "Drawn with text render mode 3, which paints no pixels, on a page whose other text is visible. The text is present to anything reading the PDF text layer and absent to anyone looking at the page."
+    why = "Render mode 3 leaves no ink, yet other spans of this page are painted: software extracts these words, nobody sees them."
     hidden = finding(mixed, "D1", F.lit("high"), F.lit(0.95), tx.excerpt(F.col("text")), F.lit(why))
     scans = pages.where("is_scan").join(page_text(t.spans), PAGE)
-    note = F.format_string("All %d text spans on this page are invisible and sit over a full-page image. This is the normal shape of a scanned document with a searchable text layer, not a hidden-text injection.", "n_invisible")
+    note = F.format_string("Unpainted spans (%d) lie on an image that fills the page, as in a scan made searchable; nothing suggests that they were hidden on purpose.", "n_invisible")
     layer = finding(scans, "D1", F.lit("info"), F.lit(0.8), tx.excerpt(F.col("page_text")), note, F.lit("page"), CROP)
     return hidden.unionByName(layer)
 
@@ -83,7 +83,7 @@ def low_contrast(t: PageTables, floor: float = 1.6) -> DataFrame:
     rows = _shown(t.spans).withColumn("ratio", contrast_with_white(F.col("r"), F.col("g"), F.col("b"), F.col("opacity"))).where(F.col("ratio") < floor)
     confidence = round3(0.5 + 0.5 * (floor - F.col("ratio")) / max(floor - 1.0, 1e-6))
     why = F.format_string(
-        f"Contrast ratio %.2f:1 against the page background, below the {floor:.1f}:1 floor. Fill colour %s at %.0f%% opacity is effectively unreadable where it sits.",
+        f"Against white the contrast is %.2f, less than the least accepted {floor:.1f} (colour %s, %.0f%% opaque): too faint to be read.",
         F.bround("ratio", 2), hex_colour(F.col("r"), F.col("g"), F.col("b")), F.col("opacity") * 100,
     )
     return finding(rows, "D2", F.when(F.col("ratio") < 1.1, "high").otherwise("suspicious"), confidence, tx.excerpt(F.col("text")), why)
@@ -92,7 +92,7 @@ def low_contrast(t: PageTables, floor: float = 1.6) -> DataFrame:
 def micro_type(t: PageTables, floor: float = 4.0) -> DataFrame:
     rows = _shown(t.spans).where(F.col("font_size") < floor)
     confidence = round3(0.5 + 0.5 * ((floor - F.col("font_size")) / floor))
-    why = F.format_string(f"Set at %.2fpt, below the {floor:.1f}pt readability floor. Text this small carries meaning to a parser and none to a reader.", "font_size")
+    why = F.format_string(f"A size of %.2f points is less than the {floor:.1f} points that eyes need; only software gets at the words.", "font_size")
     return finding(rows, "D3", F.when(F.col("font_size") < 2.0, "high").otherwise("suspicious"), confidence, tx.excerpt(F.col("text")), why)
 
 
@@ -108,7 +108,7 @@ def placed_spans(t: PageTables) -> DataFrame:
 def off_page(t: PageTables) -> DataFrame:
     rows = placed_spans(t).where("visible < 0.5")
     seen = F.when(F.col("visible") == 0, "none").otherwise("almost none")
-    why = F.format_string("Only %.0f%% of this text lies inside the page crop box, so a reader sees %s of it while the text layer carries all of it.", F.bround(F.col("visible") * 100), seen)
+    why = F.format_string("%.0f%% of the span's area is within the visible page; of its words %s show, and extraction returns them whole.", F.bround(F.col("visible") * 100), seen)
     return finding(rows, "D4", F.when(F.col("visible") == 0, "high").otherwise("suspicious"), round3(0.6 + 0.4 * (1.0 - F.col("visible"))), tx.excerpt(F.col("text")), why)
 
 
@@ -119,7 +119,7 @@ def occluded(t: PageTables, fraction: float = 0.95) -> DataFrame:
     over = inside.join(later, PAGE).where((F.col("image_seqno") > F.col("seqno")) & (SPAN.contained_fraction(IMAGE) >= fraction))
     keys = [*PAGE, "span_no", "text", "x0", "y0", "x1", "y1"]
     first = over.groupBy(*keys).agg(F.min_by(F.struct("ix0", "iy0", "ix1", "iy1"), "image_seqno").alias("i"))
-    why = F.format_string("Covered by an image drawn after it, at (%.0f, %.0f) to (%.0f, %.0f). The text is painted first and then buried, so it survives extraction and not the eye.", *[F.col(f"i.{c}") for c in ("ix0", "iy0", "ix1", "iy1")])
+    why = F.format_string("A later image, from (%.0f, %.0f) to (%.0f, %.0f), is laid over the span; what it says can be extracted but not seen.", *[F.col(f"i.{c}") for c in ("ix0", "iy0", "ix1", "iy1")])
     return finding(first, "D4o", F.lit("high"), F.lit(0.85), tx.excerpt(F.col("text")), why)
 
 
@@ -179,11 +179,11 @@ def _control(t: PageTables, kind: str, characters: tuple[str, ...], severity: st
 
 
 def zero_width(t: PageTables) -> DataFrame:
-    return _control(t, "D5z", tx.ZERO_WIDTH, "suspicious", 0.9, "Contains %d zero-width character(s). They occupy no space on the page but split words for anything reading the text layer, which can hide a term from a reader while leaving it readable to a parser, or the reverse.")
+    return _control(t, "D5z", tx.ZERO_WIDTH, "suspicious", 0.9, "Characters without width: %d. They leave the printed line as it is and change the words that software finds in it.")
 
 
 def bidi_controls(t: PageTables) -> DataFrame:
-    return _control(t, "D5b", tx.BIDI, "high", 0.95, "Contains %d bidirectional override character(s). These reorder how text is displayed without changing its stored order, so the rendered line can read differently from the extracted one.")
+    return _control(t, "D5b", tx.BIDI, "high", 0.95, "Direction controls: %d. What is printed may stand in another order than what is stored.")
 
 
 def confusable_words(t: PageTables, least: int = 2) -> DataFrame:
@@ -193,7 +193,7 @@ def confusable_words(t: PageTables, least: int = 2) -> DataFrame:
     marked = F.filter(spans, lambda s: F.array_contains("mixed", F.substring(text, s["start"] + 1, s["end"] - s["start"])))
     rows = rows.withColumn("at", F.flatten(F.transform(marked, lambda s: F.sequence(s["start"], s["end"] - 1))))
     n = F.size("mixed")
-    why = F.format_string("%d word(s) mix Latin letters with a visually identical letter from another script: %s. Substituted lookalikes read normally to a person and defeat an exact-match search for the words they sit in.", n, F.array_join(F.slice("mixed", 1, 4), ", "))
+    why = F.format_string("Words that mix scripts: %d (%s). Letters that look alike but are not equal keep searches from finding them.", n, F.array_join(F.slice("mixed", 1, 4), ", "))
     return finding(rows, "D5c", F.lit("suspicious"), round3(0.5 + 0.1 * n), anomaly_excerpt(text, F.array_min("at"), F.array_max("at")), why, box=anomaly_box(F.col("at")))
 
 
