@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by distributed prefix doubling over suffixes at sampled positions.
 
 Every byte that a string of `length` bytes covers which also starts anywhere else is removed.
 
@@ -6,11 +6,15 @@ Which positions take part: each window of `length` bytes has one anchor, the pla
 places (the leftmost of equals).  It depends on the window's content only, so equal windows have equal anchors; the windows that share an
 anchor start in one interval [lo, hi].  The suffixes sorted are those at the anchors.
 
-Doubling, on Spark: round 1 ranks the anchors' suffixes by their first `step` bytes and drops those whose rank is unique; round 2 ranks
-what is left by the pair (rank at the anchor, rank `step` bytes on), i.e. by twice the length, and drops again.  The last round passes
-the threshold: the block of an interval, all bytes of all its windows, is ranked; a block that is not unique settles the interval as a
-whole.  Only intervals whose suffix repeats but whose block is unique (the ends of repeats) are left; their windows are ranked one by one
-against those of the blocks they share a suffix with.  Ranks name equal strings by 128-bit hashes wherever a removal follows from them.
+Doubling, on Spark: every round sorts the different pairs (rank of the suffix so far, name of the bytes that the growing offset adds),
+numbers the sorted pairs that occur twice or more, and gives each suffix the number of its pair as its new rank; a suffix with a unique
+pair drops out.  A window holds `length` - `spread` bytes from its anchor on for sure; the rounds rank a half, then all of them.  The next
+round passes the threshold: it pairs the rank with the name of the interval's block, all bytes of all its windows, and a pair that occurs
+twice settles the interval as a whole.  Only intervals whose rank repeats but whose pair is unique (the ends of repeats) are left; their
+windows are ranked one by one against those of the blocks they share a rank with.
+
+The classic form takes the second half of a pair from the ranks of all positions.  Here only anchors have ranks, about one position in
+128, so bytes that start elsewhere are named by hashes: of 32 bits where a clash only costs work, of 128 wherever a removal follows.
 
 Defined results: a null text is empty; texts shorter than `length` keep all their bytes; copies of a document (same doc_id or not) repeat
 each other; an empty table gives an empty result; extra columns are not read.
@@ -41,9 +45,10 @@ class Params:
     grid: int = 16
 
     @property
-    def step(self) -> int:
-        """Half of what every window is sure to hold from its anchor on."""
-        return (self.length - self.spread) // 2
+    def steps(self) -> tuple[int, ...]:
+        """Where the names c0, c1, c2 of the bytes after an anchor end; all of them are in every window that has the anchor."""
+        sure = self.length - self.spread
+        return sure // 4, sure // 2, sure
 
 
 # --- anchors ----------------------------------------------------------------------------------------------------------------------
@@ -100,9 +105,9 @@ def text_key() -> Column:
 
 
 def suffixes(documents: DataFrame, p: Params) -> DataFrame:
-    """A row for each anchor: where it is, the ranks of its first two steps, and the rank of its interval's block."""
+    """A row for each anchor: where it is, the names of the bytes after it, and the name of its interval's block."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("text_key", pa.int64()), ("anchor", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("r1", pa.int32()), ("r2", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64())])
+    schema = pa.schema([("text_key", pa.int64()), ("anchor", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("c0", pa.int32()), ("c1", pa.int32()), ("c2", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
@@ -110,47 +115,55 @@ def suffixes(documents: DataFrame, p: Params) -> DataFrame:
             id_field = b.schema.field("doc_id")
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
-                row, columns = [], [[] for _ in range(7)]
+                row, columns = [], [[] for _ in range(8)]
                 for i, text in enumerate(raw_texts(part)):
                     if text is None or len(text) < p.length:
                         continue
                     view = memoryview(text)
                     at, lo, hi = (x.tolist() for x in anchors(text, p))
                     row += [i] * len(at)
-                    rank = [(short(view[a : a + p.step]) >> 32) - (1 << 31) for a in at], [(short(view[a + p.step : a + 2 * p.step]) >> 32) - (1 << 31) for a in at]
+                    names = [[(short(view[a + s : a + e]) >> 32) - (1 << 31) for a in at] for s, e in zip((0, *p.steps), p.steps)]
                     block = [_two(long(view[s : e + p.length])) for s, e in zip(lo, hi)]
-                    for column, values in zip(columns, (at, lo, hi, *rank, [x for x, _ in block], [x for _, x in block])):
+                    for column, values in zip(columns, (at, lo, hi, *names, [x for x, _ in block], [x for _, x in block])):
                         column += values
                 rows = pa.array(row, pa.int64())
                 arrays = [part.column("doc_id").take(rows), part.column("text_key").take(rows), *[pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:])]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([id_field, *schema]))
 
     return documents.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_key long, anchor int, lo int, hi int, r1 int, r2 int, b1 long, b2 long"
+        run, f"doc_id {kind}, text_key long, anchor int, lo int, hi int, c0 int, c1 int, c2 int, b1 long, b2 long"
     )
 
 
 # --- rounds -----------------------------------------------------------------------------------------------------------------------
 
 
-def doubled(found: DataFrame) -> DataFrame:
-    """The suffixes that are not unique at twice the step: ranks at growing offsets, unique ones dropped after each round.
+def reranked(found: DataFrame, pair: list[str]) -> DataFrame:
+    """`found` with `rank` by the order of the pairs instead of the pair's columns; rows whose pair is unique are dropped.
 
-    The shared ranks are written down before the join, so that both of its sides are plain shuffles and a rank that very many suffixes
-    have is split over tasks.
+    The pairs are counted first, so a pair that very many suffixes have is one row of the sort.  Their ranks are written down before the
+    join, so that both of its sides are plain shuffles and a hot pair is split over tasks.
     """
-    for pair in (["r1"], ["r1", "r2"]):
-        shared = materialise(found.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        found = materialise(found.join(shared, pair))
+    shared = materialise(found.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").select(*pair))
+    ordered = shared.repartitionByRange(*pair).sortWithinPartitions(*pair)
+    # rises along the sorted partitions
+    ranks = materialise(ordered.withColumn("next", F.monotonically_increasing_id()))
+    return materialise(found.join(ranks, pair).drop(*pair).withColumnRenamed("next", "rank"))
+
+
+def doubled(found: DataFrame) -> DataFrame:
+    """The suffixes that are not unique over what their windows are sure to hold, with their `rank` in that order."""
+    for pair in (["c0", "c1"], ["rank", "c2"]):
+        found = reranked(found, pair)
     return found
 
 
 def past_threshold(found: DataFrame) -> DataFrame:
-    """Adds `n`, how often the block occurs, and `open`: whether windows of its suffix group must be ranked one by one."""
-    block = ["r1", "r2", "b1", "b2"]
-    blocks = found.groupBy(*block).agg(F.count("*").alias("n"))
-    groups = blocks.groupBy("r1", "r2").agg(((F.count("*") > 1) & (F.min("n") == 1)).alias("open"))
-    told = materialise(blocks.join(groups, ["r1", "r2"]).where("n > 1 or open"))
+    """Adds `n`, how often the block occurs, and `open`: whether windows of its rank must be ranked one by one."""
+    block = ["rank", "b1", "b2"]
+    blocks = materialise(found.groupBy(*block).agg(F.count("*").alias("n")))
+    groups = materialise(blocks.groupBy("rank").agg(((F.count("*") > 1) & (F.min("n") == 1)).alias("open")))
+    told = materialise(blocks.join(groups, "rank").where("n > 1 or open"))
     return found.join(told, block)
 
 
@@ -191,7 +204,7 @@ def deduplicate(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
     # one stands for the copies of a block
     among = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "anchor", "lo", "hi")
-    chosen = ranked.where("n > 1 and open").groupBy("r1", "r2", "b1", "b2").agg(F.min(among).alias("m")).select("m.doc_id", "m.text_key", F.lit("stands").alias("what"), "m.anchor", "m.lo", "m.hi")
+    chosen = ranked.where("n > 1 and open").groupBy("rank", "b1", "b2").agg(F.min(among).alias("m")).select("m.doc_id", "m.text_key", F.lit("stands").alias("what"), "m.anchor", "m.lo", "m.hi")
     asked = ranked.where("n = 1").select("doc_id", "text_key", F.lit("asks").alias("what"), "anchor", "lo", "hi")
     settled = ranked.where("n > 1").select("doc_id", "text_key", F.lit("repeats").alias("what"), "anchor", "lo", "hi")
     told = settled.unionByName(chosen).unionByName(asked)
@@ -204,9 +217,10 @@ def deduplicate(documents: DataFrame, p: Params = Params()) -> DataFrame:
     # the ends of repeats: first in strips of `grid` windows, then window by window
     strips = materialise(state.where("fine is not null").mapInArrow(_strips(p), f"doc_id {kind}, text_key long, lo int, hi int, asks boolean, m1 long, m2 long, b1 long, b2 long"))
     times = F.sum(F.when(F.col("asks"), 1).otherwise(2))
-    whole = strips.groupBy("m1", "m2", "b1", "b2").agg(times.alias("n"))
-    mixed = whole.groupBy("m1", "m2").agg(((F.count("*") > 1) & (F.min("n") == 1)).alias("mixed"))
-    judged = materialise(strips.join(whole.join(mixed, ["m1", "m2"]), ["m1", "m2", "b1", "b2"]).where("n > 1 or mixed"))
+    whole = materialise(strips.groupBy("m1", "m2", "b1", "b2").agg(times.alias("n")))
+    mixed = materialise(whole.groupBy("m1", "m2").agg(((F.count("*") > 1) & (F.min("n") == 1)).alias("mixed")))
+    told = materialise(whole.join(mixed, ["m1", "m2"]).where("n > 1 or mixed"))
+    judged = materialise(strips.join(told, ["m1", "m2", "b1", "b2"]))
     yes = judged.where("n > 1 and asks").select(*_by_row(judged), "lo", "hi")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "lo", "hi"))
     stand = judged.where("n > 1 and mixed").groupBy("m1", "m2", "b1", "b2").agg(least.alias("m")).select("m.doc_id", "m.text_key", "m.lo", "m.hi", F.lit(False).alias("asks"))
