@@ -1,11 +1,22 @@
 """Personal data: high-recall generators propose spans, boosted trees judge them, calibrated thresholds select.
 
 Base spans follow fixed patterns and checks and always count.  Beside them each kind has a looser generator; its proposals may overlap one
-another.  A proposal is described by eight small numbers of its format and context (`FEATURES`), and gradient-boosted trees of depth two
-score it.  They are fitted on how often proposals with the same numbers coincide with a base span: Spark counts every proposal of the
-corpus by its numbers, at most `CELLS` different ones, so boosting works on that bounded table alone.  One fold in five (by a hash of the
-doc_id) is kept for calibration: a kind's threshold is the lowest score from which on its share of base spans reaches `precision`.  What
-passes and touches no base span is added, leftmost first.
+another.  A proposal is described by a few small numbers of its format and context (`FEATURES`), and gradient-boosted trees of depth two
+score it.
+
+What the trees learn from is not whether a proposal is a base span, since that would teach them the base patterns and nothing else:
+
+- Personal data are base spans and, for each of them, the ways of writing it that the base patterns miss (`dressed`: cards in groups of
+  dots or of 15 digits, [at] and (dot), phones with 00 or without +, masked dots, IPv6), described at the span's own place in the corpus.
+- Other things are proposals that fail the check of their kind (check digit, octets, digits of a phone number), that overlap a base span
+  of another kind, or that are bare digits without any sign of a phone.  One in ten numbers passes the check digit by chance, so each nine
+  failing cards stand for one passing one as well.
+- Proposals that pass their checks and are no base spans are the ones to be judged; they are learnt from in neither way.
+
+Spark counts all of these by their numbers, at most `CELLS` different ones, so boosting works on that bounded table alone.  One fold in
+five (by a hash of the doc_id) is kept for calibration: a kind's threshold is the lowest score from which on the share of personal data
+reaches `precision`, above any score at which other things are as many; a kind of which that fold has nothing takes the score that stands for that precision.  What passes and touches no
+base span of its kind is added, leftmost first.
 
 All of it is DataFrame functions.  The patterns are linear in the text: runs are entered at their start only, and repeats are possessive.
 
@@ -35,11 +46,11 @@ BASE = {
 }
 LOOSE = {
     "email": _RUN.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+)",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+){3}+|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+)",
     "card": r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){12,18}+",
     "phone": r"(?<![0-9])(?:\+|00)?\(?[0-9](?:[\x20().\/-]{0,2}[0-9]){6,16}+",
 }
-MAY_HOLD = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.|:", "card": "[0-9]", "phone": "[0-9]"}
+MAY_HOLD = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9][.\[(]|:", "card": "[0-9]", "phone": "[0-9]"}
 NEAR = {
     "email": r"(?i)(mail|contact|write|schreib|écri|correo|courriel)[^\n]*$",
     "ip": r"(?i)(\bip\b|addr|host|server|login)[^\n]*$",
@@ -48,7 +59,7 @@ NEAR = {
 }
 
 #: The numbers of a proposal, and how many values each has.
-FEATURES = {"kind": 4, "digits": 6, "marks": 5, "check": 2, "sign": 2, "left": 3, "right": 3, "near": 2}
+FEATURES = {"kind": 4, "digits": 6, "marks": 5, "check": 2, "sign": 2, "left": 3, "right": 3, "near": 2, "inside": 2}
 CELLS = math.prod(FEATURES.values())
 
 
@@ -58,7 +69,6 @@ class Params:
     rate: float = 0.3
     l2: float = 1.0
     precision: float = 0.95
-    least_seen: int = 20
     context: int = 24
 
 
@@ -120,14 +130,18 @@ def valid(kind: str, text: Column) -> Column:
     }[kind]
 
 
+#: Four numbers with dots, and dates.
+_NO_PHONE = r"^[0-9]+(?:\.[0-9]+){3}$|^(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|^[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}$"
+
+
 def checked(kind: str, text: Column) -> Column:
     """Whether a proposal, once its dressing is taken off, passes what can be checked of its kind."""
     n = F.length(digits_of(text))
     return {
         "email": text.rlike(r"[A-Za-z]{2,}$"),
-        "ip": text.rlike(_OCTETS) | text.contains(":"),
+        "ip": F.regexp_replace(text, r"[\[\]()]", "").rlike(_OCTETS) | text.contains(":"),
         "card": n.between(13, 19) & luhn(digits_of(text)),
-        "phone": n.between(8, 15),
+        "phone": n.between(8, 15) & ~text.rlike(_NO_PHONE),
     }[kind]
 
 
@@ -138,8 +152,28 @@ def _bin(value: Column, *tops: int) -> Column:
     return out
 
 
-def described(kind: str, text: Column, span: Column, context: int) -> Column:
-    """The numbers of a proposal."""
+def dressed(kind: str, text: Column) -> list[Column]:
+    """Other ways of writing a base span, which the base patterns do not know."""
+    digits = digits_of(text)
+    fourteen = F.substring(digits, 1, 14)
+    last = F.element_at(F.filter(F.array(*[F.lit(str(k)) for k in range(10)]), lambda c: luhn(F.concat(fourteen, c))), 1)
+    octets = F.transform(F.split(text, r"\."), lambda x: F.lower(F.conv(x, 10, 16)))
+    masked = lambda at, dot: F.regexp_replace(F.regexp_replace(text, r"\.(?=[A-Za-z0-9-]+$)", dot), "@", at)
+    return {
+        "email": [masked("[at]", "."), masked(" @ ", "."), masked("(at)", "(dot)"), masked("[at]", "[dot]")],
+        "ip": [F.regexp_replace(text, r"\.", "[.]"), F.concat(F.lit("2001:db8:0:0:"), F.array_join(octets, ":"))],
+        "card": [F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", "$1."), F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", "$1/"), F.concat(fourteen, last)],
+        "phone": [F.concat(F.lit("00"), F.substring(text, 2, 2**31 - 1)), F.substring(text, 2, 2**31 - 1), F.concat(F.lit("00"), digits), F.regexp_replace(text, r"^\+[0-9]{1,3}[\x20.-]+", "")],
+    }[kind]
+
+
+def bare(kind: str, text: Column, near: Column) -> Column:
+    """Digits alone, where nothing says that they are a phone number."""
+    return ~near & text.rlike("^(?!00)[0-9]+$") if kind == "phone" else F.lit(False)
+
+
+def described(kind: str, text: Column, span: Column, context: int, inside: Column) -> Column:
+    """The numbers of a proposal; inside: whether it overlaps a base span of another kind."""
     t, before = span["text"], F.substring(text, F.greatest(span["start"] - context, F.lit(0)) + 1, F.least(span["start"], F.lit(context)))
     side = lambda c: F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[\p{L}\p{N}]$"), 2).otherwise(1)
     values = {
@@ -151,33 +185,51 @@ def described(kind: str, text: Column, span: Column, context: int) -> Column:
         "left": side(F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0))),
         "right": side(F.substring(text, span["end"] + 1, F.lit(1))),
         "near": before.rlike(NEAR[kind]).cast("int"),
+        "inside": inside.cast("int"),
     }
     return F.struct(*[v.cast("int").alias(k) for k, v in values.items()])
 
 
 def proposals(documents: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id, base_<kind> and more_<kind> for every row: the base spans, and the proposals with their numbers and whether they coincide with a base span."""
+    """doc_id and by kind, for every row: the base spans, the proposals with their numbers, and the numbers of the dressed base spans.
+
+    Proposals have `base` (whether they touch a base span of their kind) and `other` (whether they are known to be something else).
+    """
     text = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     raw = text
     for name, patterns in (("base", BASE), ("more", LOOSE)):
         raw = raw.withColumns({f"{name}_{k}_{part}": c for k in KINDS for part, c in found(F.col("text"), patterns[k], MAY_HOLD[k]).items()})
     spans = raw.select("doc_id", "text", *[placed(F.col(f"{n}_{k}_hit"), F.col(f"{n}_{k}_gap")).alias(f"{n}_{k}") for n in ("base", "more") for k in KINDS])
-    base = spans.withColumns({f"base_{k}": F.transform(_valid_only(k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS})
-    return base.withColumns({f"more_{k}": F.transform(f"more_{k}", _numbered(k, params.context)) for k in KINDS}).drop("text")
+    base = spans.withColumns({f"base_{k}": F.filter(f"base_{k}", _valid(k)) for k in KINDS})
+    known = base.withColumns({f"more_{k}": F.transform(f"more_{k}", _numbered(k, params.context)) for k in KINDS} | {f"dressed_{k}": F.flatten(F.transform(f"base_{k}", _dressed(k, params.context))) for k in KINDS})
+    return known.withColumns({f"base_{k}": F.transform(f"base_{k}", lambda s: F.struct(s["start"], s["end"])) for k in KINDS}).drop("text")
+
+
+def _valid(kind: str):
+    return lambda s: valid(kind, s["text"])
 
 
-def _valid_only(kind: str) -> Column:
-    return F.filter(f"base_{kind}", lambda s: valid(kind, s["text"]))
+def _touches(kinds: list[str], s: Column) -> Column:
+    return F.exists(F.concat(*[f"base_{k}" for k in kinds]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
 def _numbered(kind: str, context: int):
     def one(s: Column) -> Column:
-        touches = F.exists(f"base_{kind}", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), described(kind, F.col("text"), s, context).alias("x"), touches.alias("base"))
+        x = described(kind, F.col("text"), s, context, _touches([k for k in KINDS if k != kind], s))
+        other = (x["check"] == 0) | (x["inside"] == 1) | bare(kind, s["text"], x["near"] == 1)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), x.alias("x"), _touches([kind], s).alias("base"), other.alias("other"))
 
     return one
 
 
+def _dressed(kind: str, context: int):
+    def all_ways(s: Column) -> Column:
+        ways = [F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("text")) for t in dressed(kind, s["text"])]
+        return F.array(*[described(kind, F.col("text"), w, context, F.lit(False)) for w in ways])
+
+    return all_ways
+
+
 # --- boosting ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -221,8 +273,8 @@ def _best_split(rows: list[tuple[dict, float, float]], l2: float) -> tuple[float
     return best
 
 
-def boost(cells: list[tuple[dict[str, int], int, int]], params: Params) -> list[Tree]:
-    """cells: (numbers, base spans, others).  Newton boosting of the logistic loss over the bounded table."""
+def boost(cells: list[tuple[dict[str, int], float, float]], params: Params) -> list[Tree]:
+    """cells: (numbers, personal data, others).  Newton boosting of the logistic loss over the bounded table."""
     margin, trees = [0.0] * len(cells), []
     for _ in range(params.trees):
         rows = []
@@ -244,21 +296,35 @@ def boost(cells: list[tuple[dict[str, int], int, int]], params: Params) -> list[
     return trees
 
 
-def thresholds(trees: list[Tree], cells: list[tuple[dict[str, int], int, int]], params: Params) -> dict[str, float]:
-    """By kind, the lowest margin from which on the share of base spans is `precision` or more; infinite if there is none."""
+def thresholds(trees: list[Tree], cells: list[tuple[dict[str, int], float, float]], params: Params) -> dict[str, float]:
+    """By kind, the lowest margin from which on the share of personal data is `precision` or more; infinite if there is none."""
     out = {}
     for k, kind in enumerate(KINDS):
         scored = sorted(((sum(t.value(x) for t in trees), yes, no) for x, yes, no in cells if x["kind"] == k), key=lambda s: -s[0])
-        out[kind], yes, no = math.inf, 0, 0
+        out[kind], yes, no = math.inf if scored else math.log(params.precision / (1 - params.precision)), 0.0, 0.0
         for i, (m, y, n) in enumerate(scored):
             yes, no = yes + y, no + n
             if i + 1 < len(scored) and scored[i + 1][0] == m:
                 continue
-            if yes + no >= params.least_seen and yes >= params.precision * (yes + no):
+            # what has this very score must be personal data more often than not, or the easy ones would carry it
+            own = [s for s in scored[: i + 1] if s[0] == m]
+            if sum(s[1] for s in own) <= sum(s[2] for s in own):
+                break
+            if yes >= params.precision * (yes + no):
                 out[kind] = m
     return out
 
 
+def by_chance(cells: list[tuple[dict[str, int], float, float]]) -> list[tuple[dict[str, int], float, float]]:
+    """The cells with the cards that pass the check digit by chance, as those that fail it tell: one for every nine."""
+    passing = [({**x, "check": 1}, 0.0, no / 9) for x, _, no in cells if x["kind"] == KINDS.index("card") and x["check"] == 0]
+    summed: dict[tuple, list[float]] = {}
+    for x, yes, no in [*cells, *passing]:
+        at = summed.setdefault(tuple(x[f] for f in FEATURES), [0.0, 0.0])
+        at[0], at[1] = at[0] + yes, at[1] + no
+    return [(dict(zip(FEATURES, key)), yes, no) for key, (yes, no) in sorted(summed.items())]
+
+
 def _selected(kind: str, trees: list[Tree], least: float) -> Column:
     if math.isinf(least) or not trees:
         return F.array().cast("array<struct<start:int,end:int>>")
@@ -270,14 +336,16 @@ def _selected(kind: str, trees: list[Tree], least: float) -> Column:
 def find_personal_data(documents: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, n_<kind>, base_sha256, spans, n_added) for every row."""
     proposed = materialise(proposals(documents, params))
-    every = F.concat(*[f"more_{k}" for k in KINDS])
     fold = (F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1)) % 5 == 0).alias("held_out")
-    seen = proposed.where(F.size(every) > 0).select(fold, F.explode(every).alias("s")).groupBy("held_out", "s.x").agg(F.count_if("s.base").alias("yes"), F.count_if(~F.col("s.base")).alias("no"))
+    seen = proposed.select(fold, F.explode(F.concat(*[f"more_{k}" for k in KINDS])).alias("s")).where("s.base or s.other")
+    shown = seen.select("held_out", "s.x", F.col("s.base").cast("int").alias("yes"))
+    ways = proposed.select(fold, F.explode(F.concat(*[f"dressed_{k}" for k in KINDS])).alias("x")).select("held_out", "x", F.lit(1).alias("yes"))
+    counted = shown.unionByName(ways).groupBy("held_out", "x").agg(F.sum("yes").alias("yes"), F.sum(1 - F.col("yes")).alias("no"))
     cells: dict[bool, list] = {True: [], False: []}
-    for r in seen.collect():  # CELLS rows of each fold at most
-        cells[r["held_out"]].append((r["x"].asDict(), r["yes"], r["no"]))
-    trees = boost(sorted(cells[False], key=lambda c: tuple(c[0].values())), params)
-    least = thresholds(trees, cells[True], params)
+    for r in counted.collect():  # CELLS rows of each fold at most
+        cells[r["held_out"]].append((r["x"].asDict(), float(r["yes"]), float(r["no"])))
+    trees = boost(by_chance(cells[False]), params)
+    least = thresholds(trees, by_chance(cells[True]), params)
 
     out = proposed.withColumns({f"add_{k}": _selected(k, trees, least[k]) for k in KINDS})
 
