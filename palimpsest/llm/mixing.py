@@ -4,6 +4,9 @@ A source with n rows and weight share s has the mean repetition rate  s * total
 Poisson distribution of that rate at a uniform number hashed from (seed, doc_id, text), so any run on any cluster draws alike.  Each
 document is exploded by its count and the copies are shuffled globally by another hash.
 
+Texts move once, in that last shuffle.  The table of rates is written down first and measured: up to `BROADCAST_NUMBERS` numbers it is
+broadcast (8 bytes each); a larger one is repeated `SALTS` times and joined by (source, salt), so that no source meets in one task.
+
 Defined results: a null source is a source of its own; rows without a target weight get rate 0 where weights are given; null doc_ids
 draw by their text; the very same row twice draws the same count twice; an empty table gives an empty result; extra columns pass
 through, and an input column with an output's name is replaced.
@@ -14,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns
+from .common import materialise, replace_columns
 
 ADDED = ["rate", "copies", "copy_no", "mix_key"]
+BROADCAST_NUMBERS, SALTS = 500_000, 64
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -51,12 +55,21 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     return rates.withColumn("cdf", F.when(F.col("rate") > 0, F.slice(cdf, 2, 2**31 - 1)).otherwise(F.array(F.lit(1.0))))
 
 
+def with_rates(documents: DataFrame, table: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """documents beside their source's row of the table."""
+    same = F.col("source").eqNullSafe(F.col("mix_source"))
+    if (table.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0) <= broadcast_numbers:
+        return documents.join(F.broadcast(table), same)
+    repeated = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = documents.withColumn("own_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(repeated.hint("merge"), same & (F.col("own_salt") == F.col("mix_salt"))).drop("own_salt", "mix_salt")
+
+
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, total: float | None = None, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """documents' rows, each as often as drawn, in random places and order, with rate, copies, copy_no (from 0) and mix_key (the order)."""
     documents = replace_columns(documents, ADDED)
-    # the sources of a mixture are a short list, but that isn't proven: Spark broadcasts them by their measured size or else joins by key
-    table = poisson_table(repetition_rates(documents, weights, temperature, total)).withColumnRenamed("source", "mix_source").drop("n")
-    drawn = documents.join(table, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("u", uniform(seed, "doc_id", *(["text"] if "text" in documents.columns else [])))
+    table = materialise(poisson_table(repetition_rates(documents, weights, temperature, total)).withColumnRenamed("source", "mix_source").drop("n"))
+    drawn = with_rates(documents, table).withColumn("u", uniform(seed, "doc_id", *(["text"] if "text" in documents.columns else [])))
     drawn = drawn.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf", "u", "mix_source")
     copied = drawn.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     copied = copied.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))

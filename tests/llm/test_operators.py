@@ -446,6 +446,13 @@ def test_mixture_follows_the_rates(spark):
     assert twice == sorted((r.doc_id, r.copy_no) for r in got.collect())
 
 
+def test_rates_too_many_to_broadcast_are_joined_by_salt(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "en", None if i % 50 == 0 else f"s{i % 7}", 0) for i in range(500)], DOCS)
+    table = mixing.poisson_table(mixing.repetition_rates(df)).withColumnRenamed("source", "mix_source").drop("n")
+    narrow = ["doc_id", "source", "rate"]
+    assert sorted(map(str, mixing.with_rates(df, table, 0).select(narrow).collect())) == sorted(map(str, mixing.with_rates(df, table).select(narrow).collect()))
+
+
 def test_poisson_counts_are_poisson(spark):
     for rate in (0.3, 4.0, 900.0):
         table = mixing.poisson_table(spark.range(1).select(F.lit(rate).alias("rate")))
