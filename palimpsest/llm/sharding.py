@@ -5,11 +5,14 @@ leaves reach the target bytes; a node that stands for k shards is split k // 2 t
 deviation of the coordinate after scaling each dimension to [0, 1].
 
 The median is found without moving rows: the key of a row along a dimension is (coordinate, hash of the text, hash of the row), 63 bits;
-each pass sums the bytes under 4096 key prefixes per node on all executors and looks closer at the prefix that holds the median.  A pass
-ends when that prefix weighs next to nothing.  Rows of equal text and metadata have neighbouring keys, so they share a shard unless a
-median falls between them.
+each pass sums the bytes under 4096 key prefixes per node on all executors, finds the prefix that holds the median there too, and looks
+closer at that one.  A pass ends when its prefix weighs next to nothing.
 
-All of it is DataFrame functions.  What reaches the driver per pass is 4096 sums per node that is being split.
+Equal texts stay together: the dimensions used by default are the same for all of them (a copy may come from another source, so `source`
+is none of them), hence their keys are neighbours, and a cut goes beside them.  Only a group of more than `together` of a shard's bytes is
+cut inside, by the hash of its rows, since one shard could not hold it and be even.
+
+All of it is DataFrame functions.  What reaches the driver per pass is one row per node that is being split.
 
 Defined results: the size of a null text is 8 and its CRC that of the empty text; null metadata count as the dimension's smallest value;
 equal rows may part at a median but each is placed once; an empty table gives an empty result; extra columns pass through, and an input
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialise, replace_columns
 
 COORDINATE_BITS, TEXT_BITS, ROW_BITS, PREFIX_BITS = 20, 23, 20, 12
+#: How many bits of the keys are left after each pass; one pass ends with the text's hash.
+PASSES = (51, 39, 27, 20, 8, 0)
 
 
 def text_size(text: str = "text") -> Column:
@@ -33,13 +38,12 @@ def text_size(text: str = "text") -> Column:
 
 
 def metadata(columns: list[str]) -> dict[str, Column]:
-    """The dimensions of a documents table, as numbers."""
-    name = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("double")
+    """The dimensions of a documents table, as numbers: length, language, and the share of bytes beyond ASCII letters (script)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     known = {
         "length": F.log2(text_size()),
-        "source": name("source") if "source" in columns else None,
-        "lang": name("lang") if "lang" in columns else None,
-        "position": F.col("doc_id").cast("double") if "doc_id" in columns else None,
+        "lang": F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit(""))).cast("double") if "lang" in columns else None,
+        "script": F.char_length(text) / F.greatest(F.octet_length(text), F.lit(1)),
     }
     return {k: v for k, v in known.items() if v is not None}
 
@@ -92,7 +96,7 @@ def _node(levels: list[list[Node]]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(levels) - 1)), F.lit(0), down)
 
 
-def _cuts(df: DataFrame, level: list[Node], names: list[str], tolerance: float) -> None:
+def _cuts(df: DataFrame, level: list[Node], names: list[str], fine: float, together: float) -> None:
     """Chooses dimension and cut of every node of the level that stands for several shards."""
     split = [k for k, x in enumerate(level) if x.shards > 1]
     inside = df.where(F.col("kd_node").isin(split))
@@ -105,40 +109,44 @@ def _cuts(df: DataFrame, level: list[Node], names: list[str], tolerance: float)
         spread = [r[f"xx{k}"] / r["w"] - (r[f"x{k}"] / r["w"]) ** 2 for k in range(len(names))]
         level[r["kd_node"]].dim = max(range(len(names)), key=lambda k: (round(spread[k], 9), -k))
 
-    bits = COORDINATE_BITS + TEXT_BITS + ROW_BITS
     keyed = inside.withColumn("kd_key", F.element_at("kd_keys", _pick([x.dim for x in level], F.col("kd_node")) + 1))
-    low, before, wanted, open_ = dict.fromkeys(split, 0), dict.fromkeys(split, 0), {}, set(split)
-    while open_ and bits:
-        step = min(PREFIX_BITS, bits)
-        was, bits = bits, bits - step
-        nodes = sorted(open_)
-        starts = F.col("kd_node")
-        part = keyed.where(starts.isin(nodes))
-        if wanted:  # only the prefix that holds the median
-            part = part.where(F.shiftright("kd_key", was) == F.shiftright(_pick([low.get(k, 0) for k in range(len(level))], starts), was))
-        sums: dict[int, list] = {}
-        for r in part.groupBy("kd_node", F.shiftright("kd_key", bits).alias("p")).agg(F.sum("kd_bytes").alias("b")).collect():
-            sums.setdefault(r["kd_node"], []).append((r["p"], r["b"]))
-        for k in nodes:
-            rows = sorted(sums.get(k, []))
-            if k not in wanted:
-                wanted[k] = sum(b for _, b in rows) * (level[k].shards // 2) / level[k].shards
-            for p, b in rows:
-                if before[k] + b < wanted[k] and p != rows[-1][0]:
-                    before[k] += b
-                    continue
-                low[k] = p << bits
-                # close enough: cut before or after this prefix, whichever is nearer
-                if b <= tolerance or not bits:
-                    level[k].cut = (p << bits) - 1 if wanted[k] - before[k] < b / 2 else ((p + 1) << bits) - 1
-                    open_.discard(k)
-                break
-            else:
+    share = _pick([x.shards // 2 / x.shards for x in level], F.col("kd_node"))
+    low, before, wanted, open_ = dict.fromkeys(split, 0), dict.fromkeys(split, 0.0), dict.fromkeys(split, 0.0), set(split)
+    was = COORDINATE_BITS + TEXT_BITS + ROW_BITS
+    for bits in PASSES:
+        if not open_:
+            break
+        node = F.col("kd_node")
+        part = keyed.where(node.isin(sorted(open_)))
+        along = Window.partitionBy("kd_node").orderBy("p")
+        if bits == PASSES[0]:
+            goal = F.sum("b").over(Window.partitionBy("kd_node")) * share
+        else:  # only the prefix that holds the median
+            part = part.where(F.shiftright("kd_key", was) == F.shiftright(_pick([low.get(k, 0) for k in range(len(level))], node), was))
+            goal = _pick([wanted.get(k, 0.0) - before.get(k, 0.0) for k in range(len(level))], node)
+        sums = part.groupBy("kd_node", F.shiftright("kd_key", bits).alias("p")).agg(F.sum("kd_bytes").alias("b"))
+        reached = sums.withColumns({"goal": goal, "upto": F.sum("b").over(along), "last": F.max("p").over(Window.partitionBy("kd_node"))})
+        at = reached.where("upto >= goal or p = last").groupBy("kd_node").agg(F.min(F.struct("p", "b", "upto", "goal")).alias("m"))
+        for r in at.select("kd_node", "m.*").collect():
+            k = r["kd_node"]
+            if bits == PASSES[0]:
+                wanted[k] = r["goal"]
+            before[k] += r["upto"] - r["b"]
+            low[k] = r["p"] << bits
+            # close enough: cut before or after this prefix, whichever is nearer
+            if not bits or r["b"] <= (together if bits <= ROW_BITS else fine):
+                level[k].cut = low[k] - 1 if wanted[k] - before[k] < r["b"] / 2 else ((r["p"] + 1) << bits) - 1
                 open_.discard(k)
+        open_ &= set(low)
+        was = bits
+
 
+def kd_shards(df: DataFrame, shards: int | None = None, target_bytes: int | None = None, tolerance: float = 0.001, together: float = 0.02, dims: dict[str, Column] | None = None) -> DataFrame:
+    """df with `shard` (int, from 0).  df needs doc_id and text; give the number of shards, or the bytes a shard should have.
 
-def kd_shards(df: DataFrame, shards: int | None = None, target_bytes: int | None = None, tolerance: float = 0.001, dims: dict[str, Column] | None = None) -> DataFrame:
-    """df with `shard` (int, from 0).  df needs doc_id and text; give the number of shards, or the bytes a shard should have."""
+    tolerance and together are shares of a shard's bytes: how near a cut comes to the median where texts are light, and up to which weight
+    a group of equal texts is not cut.  dims: other dimensions, by name; ones that tell equal texts apart part them.
+    """
     df = replace_columns(df, ["shard"])
     dims = dims or metadata(df.columns)
     names = list(dims)
@@ -149,7 +157,8 @@ def kd_shards(df: DataFrame, shards: int | None = None, target_bytes: int | None
     bounds = {n: (whole[f"low_{n}"] or 0.0, whole[f"high_{n}"] or 0.0) for n in names}
     rows, levels, level = _keyed(slim, names, bounds), [], [Node(shards, 0)]
     while any(x.shards > 1 for x in level):
-        _cuts(rows.withColumn("kd_node", _node(levels)), level, names, tolerance * (whole["bytes"] or 0) / shards)
+        one = (whole["bytes"] or 0) / shards
+        _cuts(rows.withColumn("kd_node", _node(levels)), level, names, tolerance * one, together * one)
         levels.append(level)
         level = [y for x in level for y in ([Node(1, x.first_shard)] if x.shards == 1 else [Node(x.shards // 2, x.first_shard), Node(x.shards - x.shards // 2, x.first_shard + x.shards // 2)])]
 

@@ -393,6 +393,42 @@ def test_shards_are_even_boxes(spark):
     assert by_target.select("shard").distinct().count() == 5
 
 
+def brute_root(rows):
+    """Sizes, coordinates scaled to [0, 1] and the widest dimension of rows (doc_id, text, lang), by the definition."""
+    import zlib
+
+    size = [len(t.encode()) + 8 for _, t, _ in rows]
+    dims = [[np.log2(x) for x in size], [float(zlib.crc32((g or "").encode())) for _, _, g in rows], [len(t) / max(len(t.encode()), 1) for _, t, _ in rows]]
+    at = [[(x - min(d)) / max(max(d) - min(d), 1e-12) for x in d] for d in dims]
+    mean = [np.average(a, weights=size) for a in at]
+    spread = [np.average(np.square(a), weights=size) - m**2 for a, m in zip(at, mean)]
+    return size, at, max(range(3), key=lambda d: (round(spread[d], 9), -d))
+
+
+def test_root_cut_by_brute_force(spark):
+    """The first cut lies where the sorted coordinates reach half of the bytes, and on the widest dimension."""
+    rng = random.Random(3)
+    rows = [(i, "y" * rng.randint(1, 3000), rng.choice(["en", "de", "fr"])) for i in range(800)]
+    df = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], DOCS).repartition(3)
+    size, at, dim = brute_root(rows)
+    shard = {r.doc_id: r.shard for r in sharding.kd_shards(df, shards=2).select("doc_id", "shard").collect()}
+    left = [at[dim][i] for i, *_ in rows if shard[i] == 0]
+    right = [at[dim][i] for i, *_ in rows if shard[i] == 1]
+    assert max(left) <= min(right) + 2**-20
+    assert abs(sum(size[i] for i, *_ in rows if shard[i] == 0) - sum(size) / 2) <= max(0.02 * sum(size) / 2, max(size))
+
+
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(5)
+    texts = [words(rng, rng.randint(5, 200)) for _ in range(900)]
+    rows = [(i, texts[i % 900 if i < 1800 else 0], "en", f"s{rng.randint(0, 9)}", 0) for i in range(2600)]
+    placed = sharding.kd_shards(spark.createDataFrame(rows, DOCS).repartition(4), shards=8)
+    n = {r.text: r.n for r in placed.groupBy("text").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert sum(k > 1 for k in n.values()) <= 1 and all(k == 1 for t, k in n.items() if t != texts[0])
+    sizes = [r.b for r in placed.groupBy("shard").agg(F.sum(sharding.text_size()).alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.1 * max(sizes)
+
+
 # --- 8 ----------------------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
