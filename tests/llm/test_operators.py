@@ -44,7 +44,7 @@ def test_chat_windows(spark):
         turns = chat.parse(w.formatted)
         assert w.tokens <= 400 or len(turns) - w.context_turns == 1
         assert w.tokens == len(w.formatted)
-        if w.conv_id == 1 and w.window_no:
+        if w.conv_id == 1 and w.span:
             assert turns[0][0] == "system" and len(turns) > w.context_turns
     assert sum(w.conv_id == 1 and w.context_turns > 1 for w in got) > 3  # history is repeated
     out = {r.conv_id: r for r in chat.digests(made).collect()}
@@ -56,11 +56,68 @@ def test_chat_windows(spark):
         assert r.loss_chars == len("".join(said)) and r.loss_sha256 == sha("".join(said))
 
 
-def test_chat_blocks_carry_the_system_turn(spark):
-    rows = [(1, k, "system" if k == 0 else ["user", "assistant"][k % 2], f"t{k}") for k in range(40)]
-    got = chat.format_windows(spark.createDataFrame(rows, TURNS), budget=10_000, history=100, block_turns=16, count=COUNT).orderBy("block").collect()
-    assert [chat.parse(w.formatted)[0] for w in got] == [("system", "t0")] * 3
+def brute_windows(turns, budget, history):
+    """(first, last target, repeated turns) of each window of a conversation of (role, text), by the definition."""
+    size = [len("".join(chat.render(*t))) for t in turns]
+    begin = [sum(size[:i]) for i in range(len(turns))]
+    first_system = next((i for i, (r, _) in enumerate(turns) if r == "system"), None)
+    held = 0 if first_system is None else size[first_system]
+    stride = max(budget - history - held, budget // 4, 1)
+    out, own = [], []
+    for i in range(len(turns)):
+        used = (held if first_system is not None and own and first_system < own[0] else 0) + sum(size[j] for j in own)
+        if own and (begin[i] // stride != begin[own[0]] // stride or used + size[i] > budget):
+            out.append(own)
+            own = []
+        own.append(i)
+    out += [own] if own else []
+    told = []
+    for own in out:
+        used = sum(size[j] for j in own) + (held if first_system is not None and first_system < own[0] else 0)
+        room = min(history, budget - used)
+        told.append((own[0], own[-1], [j for j in range(own[0]) if j != first_system and begin[own[0]] - begin[j] <= room]))
+    return told
+
+
+def test_chat_windows_by_brute_force(spark):
+    """No edge but the spans': blocks of turn numbers change nothing, and each window repeats what the definition says."""
+    rng = random.Random(14)
+    convs = {c: [("system", "s" * 30)] * (c % 2) + [(rng.choice(["user", "assistant"]), "x" * rng.choice([3, 40, 90, 300, 900])) for _ in range(rng.randint(1, 120))] for c in range(12)}
+    convs[99] = [("user", "late")] * 3 + [("system", "rules")] + [("assistant", "y" * 50)] * 30
+    rows = [(c, k, r, f"{k} {t}") for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
+    for block_turns in (7, 4096):
+        made = chat.format_windows(spark.createDataFrame(rows, TURNS).repartition(4), budget=600, history=150, count=COUNT, block_turns=block_turns)
+        got = {}
+        for w in sorted(made.collect(), key=lambda w: (w.conv_id, w.span, w.window_no)):
+            turns = chat.parse(w.formatted)
+            number = [int(t.split(" ")[0]) for _, t in turns]
+            context = number[: w.context_turns]
+            first_system = next((i for i, (r, _) in enumerate(convs[w.conv_id]) if r == "system"), None)
+            if first_system is not None and first_system < number[w.context_turns]:
+                assert context[0] == first_system
+                context = context[1:]
+            got.setdefault(w.conv_id, []).append((number[w.context_turns], number[-1], context))
+        assert got == {c: brute_windows([(r, f"{k} {t}") for k, (r, t) in enumerate(turns)], 600, 150) for c, turns in convs.items()}
+
+
+def test_chat_of_odd_tables(spark):
     assert chat.format_windows(spark.createDataFrame([], TURNS), count=COUNT).count() == 0
+    rows = [(1, 0, "system", "a"), (1, 1, "assistant", "b"), (None, None, None, None)]
+    plain = spark.createDataFrame(rows, TURNS)
+    clashing = plain.withColumns({n: F.lit("mine") for n in ("span", "window_no", "tokens", "begin", "stride", "is_system", "part", "formatted", "block")})
+    tell = lambda df: sorted(map(str, chat.digests(chat.format_windows(df, count=COUNT)).collect()))
+    assert tell(clashing) == tell(plain)
+
+
+def test_tokens_of_long_texts_are_counted_whole():
+    count = chat.bpe_counter()
+    count("")
+    own = chat._loaded[next(iter(chat._loaded))]
+    rng = random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b1", " ", "\n", "!", " " * rng.randint(490, 600), "\n" * 505 + " "]) for _ in range(rng.randint(1, 12)))
+        assert count(text) == len(own.encode_ordinary(text))
+    assert count(" " * 1_000_000) > 0 and count("ab " * 20_000) == len(own.encode_ordinary("ab " * 20_000))
 
 
 # --- 2 ----------------------------------------------------------------------------------------------------------------------------
