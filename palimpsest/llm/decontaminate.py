@@ -6,16 +6,16 @@ symbols are words (case-folded, without ASCII punctuation), the strings are benc
 of `repetitions` walks is hashed on `sampled` random steps; an item and a window that agree on any of these keys are a candidate pair,
 and a pair counts when its exact word edit distance is within (1 - similarity) of the item's length.
 
-Windows: one that copies an item must keep at least one of the item's `anchors` longest words; each such word in a document places a
-window of the item's length with that word where the item has it.
+Windows: an item is cut into as many pieces as it may have edits, and one more.  Every edit breaks one piece at most, so a copy within the
+limit keeps one verbatim.  Wherever a piece occurs (found by its longest word), windows of the item's length are placed for every shift
+that the edits before the piece allow; so every window that a copy can fill is embedded, whatever words were edited, and windows that hold
+no piece, which can be no copy, are not.
 
-With a step agreeing at probability p, the chance to miss a pair is (1 - p ** sampled) ** repetitions; 12 walks of 3 steps miss under 2 %
-at p = 0.65.
+With a step agreeing at probability p, the chance to miss a pair is (1 - p ** sampled) ** repetitions: with 40 walks of 2 steps 0.1 % at
+p = 0.4 and 2.3 % at p = 0.3.  At the limit of a fifth of the words edited, p is about a half.
 
-That and the anchors leave a part of the heavily edited copies out, so there is an exact way too: an item is cut into as many pieces as it
-may have edits, and one more.  Every edit breaks one piece at most, so a copy keeps one verbatim, and its place gives the words to verify.
-
-The benchmark is the query set; it is taken in blocks of `block_items` items, each with its own pass, so what a task holds is bounded.
+The benchmark is the query set; it is taken in blocks of `block_items` items or `block_bytes` bytes at most (but one item at least), each
+with its own pass, so what the driver and a task hold is bounded.
 
 Defined results: items of fewer than five words, null items and null or empty texts match nothing; item copies match alike; repeated
 documents are found each; an empty table on either side gives no match; extra columns pass through the filter and are not read by the
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import raw_texts
 
@@ -44,10 +45,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class Params:
     similarity: float = 0.8
     least_words: int = 5
-    anchors: int = 4
-    repetitions: int = 12
-    sampled: int = 3
+    repetitions: int = 40
+    sampled: int = 2
     block_items: int = 20_000
+    block_bytes: int = 8 << 20
     seed: int = 7
 
 
@@ -112,27 +113,25 @@ def edits(item: list[bytes], window: list[bytes], most: int) -> int:
 
 
 class ItemIndex:
-    """A block of items: their anchor words with the windows they place, and the LSH tables."""
+    """A block of items: their pieces, which place windows, and the LSH tables."""
 
-    def __init__(self, items: list[tuple[int, bytes]], params: Params):
+    def __init__(self, items: list[tuple[object, bytes]], params: Params):
         self.params, self.walks = params, Walks(params)
         self.items = [(i, words_of(t)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if len(w) >= params.least_words]
-        places, tables = defaultdict(set), defaultdict(list)
-        #: by first word, number of words and the other words: (item, place in it)
-        self.pieces: dict[bytes, dict[int, dict[tuple[bytes, ...], list[tuple[int, int]]]]] = {}
+        tables = defaultdict(list)
+        #: by a piece's longest word, its place in the piece and the piece's size, then by the piece: (item, place of the piece in it)
+        self.pieces: dict[bytes, dict[tuple[int, int], dict[tuple[bytes, ...], list[tuple[int, int]]]]] = {}
         for k, (_, words) in enumerate(self.items):
             n = len(words)
-            longest = sorted(range(n), key=lambda o: (-len(words[o]), words[o], o))[: params.anchors]
-            for o in longest:
-                places[words[o]].add((o, n))
             for key in self.walks.keys(words, n):
                 tables[key].append(k)
             cuts = [j * n // (self.most(n) + 1) for j in range(self.most(n) + 2)]
             for o, end in zip(cuts, cuts[1:]):
                 if o < end:
-                    self.pieces.setdefault(words[o], {}).setdefault(end - o, {}).setdefault(tuple(words[o + 1 : end]), []).append((k, o))
-        self.places, self.tables = {w: sorted(p) for w, p in places.items()}, dict(tables)
+                    at = max(range(o, end), key=lambda j: (len(words[j]), words[j], -j))
+                    self.pieces.setdefault(words[at], {}).setdefault((at - o, end - o), {}).setdefault(tuple(words[o:end]), []).append((k, o))
+        self.tables = dict(tables)
 
     def most(self, n: int) -> int:
         """The edits that an item of n words may have."""
@@ -140,53 +139,50 @@ class ItemIndex:
 
     def kept_pieces(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """(item, first word as the item's piece places it) wherever a piece of an item occurs."""
-        for p, w in enumerate(words):
-            for size, rests in self.pieces.get(w, {}).items():
-                for k, o in rests.get(tuple(words[p + 1 : p + size]), ()):
-                    yield k, p - o
-
-    def matches(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
+        known = self.pieces
+        for p in [p for p, w in enumerate(words) if w in known]:
+            for (before, size), pieces in known[words[p]].items():
+                if p >= before:
+                    for k, o in pieces.get(tuple(words[p - before : p - before + size]), ()):
+                        yield k, p - before - o
+
+    def matches(self, text: bytes | None) -> list[tuple[object, int, int, int]]:
         """(item id, edits, words of the item, first word) of the best match of each item found."""
         words, best, windows = words_of(text), {}, set()
-        tried = set()
-        for p in [p for p, w in enumerate(words) if w in self.places]:
-            windows.update((max(0, p - o), n) for o, n in self.places[words[p]] if p - o + n > 0)
-        for start, n in sorted(windows):
-            window = words[start : start + n]
-            found = {k for key in self.walks.keys(window, n) for k in self.tables.get(key, ())}
-            for k in sorted(found):
-                item_id, item = self.items[k]
-                most = self.most(len(item))
-                if k in best and best[k][1] == 0:
-                    continue
-                tried.add((k, start))
-                slack = most
-                e = edits(item, words[max(0, start - slack) : start + n + slack] if window != item else window, most)
-                if e <= most and (k not in best or e < best[k][1]):
-                    best[k] = (item_id, e, n, start)
         for k, start in self.kept_pieces(words):
-            if (k, start) in tried or (k in best and best[k][1] == 0):
+            if k in best and best[k][1] == 0:
                 continue
-            tried.add((k, start))
             item_id, item = self.items[k]
             n, most = len(item), self.most(len(item))
-            part = words[max(0, start - most) : start + n + most]
-            there = set(part)
-            if sum(x in there for x in item) < n - most:
-                continue
-            e = edits(item, part, most)
-            if e <= most and (k not in best or e < best[k][1]):
-                best[k] = (item_id, e, n, max(0, start))
+            if start >= 0 and words[start : start + n] == item:  # agrees with the item in all keys
+                best[k] = (item_id, 0, n, start)
+            else:
+                windows.update((s, n) for s in range(start - most, start + most + 1) if s + n > 0 and s < len(words))
+        verified = set()
+        for start, n in sorted(windows):
+            # what lies before the text's start is no word, so that steps stay aligned
+            window = words[max(0, start) : start + n]
+            for k in sorted({k for key in self.walks.keys([b""] * max(0, -start) + window, n) for k in self.tables.get(key, ())}):
+                if (k, start) in verified or (k in best and best[k][1] == 0):
+                    continue
+                verified.add((k, start))
+                item_id, item = self.items[k]
+                most = self.most(len(item))
+                e = edits(item, words[max(0, start - most) : start + n + most], most)
+                if e <= most and (k not in best or e < best[k][1]):
+                    best[k] = (item_id, e, n, max(0, start))
         return [best[k] for k in sorted(best)]
 
 
 def item_blocks(benchmark: DataFrame, params: Params) -> Iterator[ItemIndex]:
-    block = []
+    block, size = [], 0
     for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"].encode()))
-        if len(block) == params.block_items:
+        text = r["text"].encode()
+        if block and (len(block) == params.block_items or size + len(text) > params.block_bytes):
             yield ItemIndex(block, params)
-            block = []
+            block, size = [], 0
+        block.append((r["item_id"], text))
+        size += len(text)
     if block:
         yield ItemIndex(block, params)
 
@@ -208,7 +204,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, params: Params = Pa
 
         return run
 
-    b_item = pa.int64() if benchmark.schema["item_id"].dataType.simpleString() == "bigint" else pa.int32()
+    b_item = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = documents.sparkSession.createDataFrame([], schema)
     for k, index in enumerate(item_blocks(benchmark, params)):
         one = documents.select("doc_id", "text").mapInArrow(search(index), schema)

@@ -294,22 +294,51 @@ def test_decontamination_recall_against_brute_force(spark):
     assert decontaminate.remove_contaminated(spark.createDataFrame(rows, DOCS), bench, decontaminate.Params(block_items=25)).count() == 240 - len({d for d, _ in got})
 
 
-def test_decontamination_finds_copies_at_the_limit(spark):
-    """A fifth of the words edited, the longest ones among them, by replacement, removal and insertion."""
+def edited(rng, item, share, rare):
+    """The item's words with a share of them edited, the longest ones if rare: by replacement, removal and insertion."""
+    item, most = list(item), int(len(item) * share)
+    order = sorted(range(len(item)), key=lambda o: -len(item[o])) if rare else rng.sample(range(len(item)), len(item))
+    for o in sorted(order[:most], reverse=True):
+        rng.choice([lambda: item.pop(o), lambda: item.insert(o, "zzz"), lambda: item.__setitem__(o, item[o] + "x"), lambda: item.__setitem__(o, "yyy")])()
+    return item
+
+
+@pytest.mark.parametrize("rare", [False, True])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall_by_share_of_edits(share, rare):
     rng = random.Random(12)
-    items = [words(rng, rng.choice([5, 10, 20, 35]), "abcdefghijklmn") for _ in range(80)]
+    items = [words(rng, rng.randint(5, 50), "abcdefghijklmn").split() for _ in range(400)]
+    index = decontaminate.ItemIndex([(k, " ".join(x).encode()) for k, x in enumerate(items)], decontaminate.Params())
+    found = 0
+    for k, item in enumerate(items):
+        text = [words(rng, rng.randint(0, 30), "pqrstuv"), *edited(rng, item, share, rare), words(rng, rng.randint(0, 30), "pqrstuv")]
+        found += k in {m[0] for m in index.matches(" ".join(text).encode())}
+    assert found >= 0.97 * len(items)
+
+
+def test_decontamination_by_exhaustive_search(spark):
+    """All windows of all lengths within the limit, for every item and document."""
+    rng = random.Random(17)
+    items = [words(rng, rng.randint(5, 14), "abcd") for _ in range(25)]
     rows = []
-    for k, text in enumerate(items):
-        item = text.split()
-        most = len(item) // 5
-        longest = sorted(range(len(item)), key=lambda o: -len(item[o]))[:most]
-        at = longest if k % 2 else rng.sample(range(len(item)), most)
-        for o in sorted(at, reverse=True):
-            rng.choice([lambda: item.pop(o), lambda: item.insert(o, "zzz"), lambda: item.__setitem__(o, "yyy")])() if k % 4 > 1 else item.__setitem__(o, item[o] + "x")
-        rows.append((k, " ".join([words(rng, 30, "pqrstuv"), *item, words(rng, 30, "pqrstuv")]), "en", "s", 0))
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
-    assert got == {(k, k) for k in range(80)}
+    for k in range(60):
+        text = words(rng, 25, "abcd").split()
+        where = rng.randint(0, 25)
+        text[where:where] = edited(rng, items[k % 25].split(), rng.choice([0, 0.1, 0.2, 0.3]), k % 2)
+        rows.append((k, " ".join(text), "en", "s", 0))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS).repartition(3), bench).collect()}
+    expected = {}
+    for d, text, *_ in rows:
+        for i, item in enumerate(items):
+            a, b = item.encode().split(), text.encode().split()
+            e = decontaminate.edits(a, b, 99)  # against every part of the document
+            if e <= len(a) // 5:
+                expected[d, i] = e
+    assert got.keys() <= expected.keys() and len(got) >= 0.95 * len(expected) and all(got[x] >= expected[x] for x in got)
+    named = bench.selectExpr("cast(item_id as string) as item_id", "text")
+    again = decontaminate.contaminated(spark.createDataFrame(rows, DOCS), named, decontaminate.Params(block_bytes=200)).collect()
+    assert {(r.doc_id, int(r.item_id)) for r in again} == got.keys()
 
 
 def test_edit_distance_by_brute_force():
