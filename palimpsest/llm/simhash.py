@@ -49,7 +49,10 @@ def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> list[int]:
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     if not hashes:
         return 0
     h, ones = np.array(hashes, dtype=">u8"), np.zeros(64, dtype=np.int64)
@@ -218,7 +221,7 @@ def links(fps: DataFrame, limit: int = MAX_BITS, segment_rows: int = 65536, leas
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the pairs (a, b): root is one of the component's nodes, itself included.
 
-    Large-star and small-star steps alternate until the set of links stays the same.
+    Large-star and small-star steps alternate until every node but the roots has one link, to a root.
     """
 
     def neighbours(e: DataFrame) -> DataFrame:
@@ -232,16 +235,14 @@ def components(pairs: DataFrame) -> DataFrame:
             out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        several = e.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("x"))
+        passed = e.select(F.col("b").alias("x")).distinct().join(e.select(F.col("a").alias("x")), "x", "left_semi")
+        return several.unionByName(passed).limit(1).count() == 0
 
     edges = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
-    while before[0]:
+    while not settled(edges):
         edges = materialise(star(star(edges, True), False))
-        if (now := state(edges)) == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
