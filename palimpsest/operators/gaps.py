@@ -72,7 +72,7 @@ def combinations(gap_candidates: DataFrame) -> DataFrame:
     runs = gap_candidates.groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "skill", "skill_gain", "requirement_ids"))).alias("c"), F.first("total_weight").alias("total_weight"), F.first("total_contribution").alias("total_contribution")
     )
-    masks = runs.withColumn("mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), 5) - 1))).where("mask < shiftleft(1, size(c)) and bit_count(mask) >= 2")
+    masks = runs.withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(c)) - 1)"))).where("bit_count(mask) >= 2")
     chosen = masks.withColumn("c", F.expr("filter(c, (x, i) -> (shiftright(mask, i) & 1) = 1)"))
     gain = F.aggregate("c", F.lit(0).cast("decimal(20,4)"), lambda a, x: (a + x["skill_gain"]).cast("decimal(20,4)"))
     return chosen.select(

@@ -20,8 +20,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster's executors share files."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    """A new folder where the cluster's executors share files; a temporary one only in local mode (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith(("spark:", "yarn", "k8s", "local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 
 def source(t: Tables, name: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import documents, evidence, operations, scores, streams, texts
+from .plans import documents, evidence, files, operations, scores, streams, texts
 
-PLANS = [scores.PLAN, documents.PLAN, evidence.PLAN, texts.PLAN, operations.PLAN, streams.PLAN]
+PLANS = [scores.PLAN, documents.PLAN, evidence.PLAN, texts.PLAN, operations.PLAN, streams.PLAN, files.PLAN]
 
 
 def queries() -> dict:
