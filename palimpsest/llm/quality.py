@@ -1,11 +1,13 @@
 """Quality rules: text counts, and perplexity bands under a character n-gram model.
 
-The model is modified Kneser-Ney of order 4 over 64 symbols (letters, digits and punctuation classes; other characters share 30 symbols
-by a hash).  Spark counts the n-grams of all whole texts; lower orders, discounts, interpolated probabilities and back-off weights are
-Spark aggregations and joins over the count table.  The finished model is stored as sorted arrays of n-gram hashes with their log
-probabilities, and of context hashes with their log back-off weights, and is looked up by binary search.  An order has 64 ** order
-n-grams at most, so the whole model is bounded by about 17 million entries of 8 bytes, whatever the corpus; that bound is what makes
-the broadcast safe.
+The model is modified Kneser-Ney of order 5 over whole characters (code points, none folded or shared), so what is gathered grows with
+the corpus.  Each task counts the n-grams of its whole texts, Spark adds them up; lower orders, discounts, interpolated probabilities
+and back-off weights are Spark aggregations and joins over the count table.  A group of those joins holds at most one row for each
+character, so no key is hot.
+
+The model is looked up in sorted arrays of n-gram hashes with log probabilities.  Up to `array_entries` entries (12 bytes each; they are
+counted first) the arrays go to every task.  A larger model stays where it is: documents are dealt into segments, each segment asks for
+its different n-grams by a join, and is scored with the arrays of those alone.  Both ways give the same numbers.
 
 A document is rejected when its log perplexity lies outside its language's band: the quartiles widened by `widen` times their distance.
 Quartiles come from a histogram over all documents that pass the base rules (a thousandth of a nat wide), so they are exact to that
@@ -22,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, materialise, raw_texts
 
-ORDER, SYMBOL_BITS = 4, 6
+ORDER, CHAR_BITS = 5, 21
+BEFORE = 0x110000  # stands before a text; no code point
+MOST_KINDS = 7131  # different characters in one run of `count_grams`: 7131 ** 5 < 2 ** 64
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words
 
 
@@ -35,6 +39,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words
 class Params:
     widen: float = 4.0
     least_documents: int = 50
+    array_entries: int = 1 << 22  # 50 MB
+    segment_chars: int = 1 << 22
 
 
 # --- base rules -------------------------------------------------------------------------------------------------------------------
@@ -64,69 +70,99 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), points, symbols, repeated_lines, repeated
 
 
-# --- symbols and n-grams ----------------------------------------------------------------------------------------------------------
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbols of the first 128 code points.  0 stands before a text, 1 for white space, 33 for capitals."""
-    table = np.full(128, 31, dtype=np.uint32)
-    table[:33] = 1
-    table[127] = 1
-    for k in range(26):
-        table[ord("a") + k], table[ord("A") + k] = 2 + k, 33
-    table[ord("0") : ord("9") + 1] = 28
-    table[ord(".")], table[ord(",")] = 29, 30
-    for ch in "#*$%&|<>":
-        table[ord(ch)] = 32
-    return table
+# --- characters and n-grams -------------------------------------------------------------------------------------------------------
+# An n-gram is two longs: `lo` holds its last three characters, `hi` the two before those, 21 bits each.
 
 
-SYMBOLS = _symbol_table()
-
-
-def grams(text: bytes | None) -> np.ndarray:
-    """The 24-bit code of every symbol with the three before it."""
+def padded(text: bytes | None) -> np.ndarray:
+    """The code points of a text behind ORDER - 1 marks."""
     points = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    if not len(points):
-        return points
-    other = points >= 128
-    symbol = SYMBOLS[np.where(other, 0, points)]
-    if other.any():
-        symbol[other] = 34 + ((points[other] * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(30)
-    padded = np.concatenate([np.zeros(ORDER - 1, np.uint32), symbol])
-    code = np.zeros(len(symbol), np.uint32)
-    for k in range(ORDER):
-        code = (code << np.uint32(SYMBOL_BITS)) | padded[k : k + len(symbol)]
-    return code
-
-
-def count_grams(documents: DataFrame) -> DataFrame:
-    """(gram, n) over all texts: each task adds up its partition, Spark adds up the tasks."""
+    return np.concatenate([np.full(ORDER - 1, BEFORE, np.uint32), points]) if len(points) else points
+
+
+def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of every character with the four before it."""
+    if len(points) < ORDER:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c, n = points.astype(np.int64), len(points) - ORDER + 1
+    at = [c[k : k + n] for k in range(ORDER)]
+    return at[0] << CHAR_BITS | at[1], (at[2] << CHAR_BITS | at[3]) << CHAR_BITS | at[4]
+
+
+def counted(points: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(hi, lo, n) of the n-grams that end at the places where `starts` is false.
+
+    Characters are numbered as they occur, so that an n-gram is one number below 2 ** 64; a run with too many kinds is halved.
+    """
+    kinds = np.unique(points)
+    if len(kinds) > MOST_KINDS:
+        half = len(points) // 2
+        yield from counted(points[:half], starts[:half])
+        inside = starts[half - ORDER + 1 :].copy()
+        inside[: ORDER - 1] = True  # context only
+        yield from counted(points[half - ORDER + 1 :], inside)
+        return
+    number = np.zeros(BEFORE + 1, np.uint64)
+    number[kinds] = np.arange(len(kinds), dtype=np.uint64)
+    own, radix = number[points], np.uint64(len(kinds))
+    code = own[: -ORDER + 1].copy()
+    for k in range(1, ORDER):
+        code *= radix
+        code += own[k : len(own) - ORDER + 1 + k]
+    code = np.sort(code[~starts[ORDER - 1 :]])
+    if not len(code):
+        return
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    code, n = code[first], np.diff(np.append(first, len(code)))
+    last = []
+    for _ in range(ORDER):
+        last.append(kinds[(code % radix).astype(np.int64)].astype(np.int64))
+        code //= radix
+    lo = (last[2] << CHAR_BITS | last[1]) << CHAR_BITS | last[0]
+    yield pa.RecordBatch.from_arrays([pa.array(last[4] << CHAR_BITS | last[3]), pa.array(lo), pa.array(n.astype(np.int64))], names=["hi", "lo", "n"])
+
+
+def count_grams(documents: DataFrame, run_chars: int = 1 << 22) -> DataFrame:
+    """(hi, lo, n) over all texts: each task counts runs of texts and adds them up, Spark adds up the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, inside = np.zeros(1 << (ORDER * SYMBOL_BITS), dtype=np.uint32), 0
+        held, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            at = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["gram", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            points = np.concatenate(held)
+            yield from counted(points, points == BEFORE)
 
         for b in batches:
             for t in raw_texts(b):
-                code = grams(t)
-                inside += len(code)
-                np.add.at(counts, code, 1)
-                if inside > 1 << 31:
-                    yield out()
-                    counts[:], inside = 0, 0
-        if inside:
-            yield out()
-
-    return documents.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+                points = padded(t)
+                for k in range(0, len(points), run_chars):  # a long text goes on in the next run, behind its own context
+                    piece = points[max(k - ORDER + 1, 0) : k + run_chars]
+                    if k:
+                        yield from counted(piece, np.arange(len(piece)) < ORDER - 1)
+                    elif len(piece):
+                        held.append(piece)
+                        size += len(piece)
+                if size >= run_chars:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    return documents.select("text").mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
 # --- modified Kneser-Ney ----------------------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Model:
+    """For each order, lowest first: (hi, lo, p) of its n-grams, and (hi, lo, g) of their contexts with back-off weights."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    characters: int
+
+
 @dataclass(frozen=True)
 class Level:
     """One order: sorted hashes of n-grams with log probabilities, sorted hashes of contexts with log back-off weights."""
@@ -137,9 +173,33 @@ class Level:
     log_backoff: np.ndarray
 
 
-def hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    """A one-to-one hash of an order's n-gram codes."""
-    return (codes.astype(np.uint64) * np.uint64(0x9E3779B1) + np.uint64(order)).astype(np.uint32)
+def hashed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    h = hi.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64)
+    for _ in range(2):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _last(hi, lo, length: int) -> tuple:
+    """The last characters of an n-gram, of columns or arrays."""
+    if length > 3:
+        return hi & ((1 << CHAR_BITS * (length - 3)) - 1), lo
+    return hi & 0, lo & ((1 << CHAR_BITS * length) - 1)
+
+
+def _suffix(length: int) -> list[Column]:
+    hi, lo = F.col("hi"), F.col("lo")
+    if length > 3:
+        return [hi.bitwiseAND(F.lit((1 << CHAR_BITS * (length - 3)) - 1)), lo]
+    return [F.lit(0).cast("long"), lo.bitwiseAND(F.lit((1 << CHAR_BITS * length) - 1))]
+
+
+def _context(hi: str = "hi", lo: str = "lo") -> list[Column]:
+    """All characters but the last."""
+    hi, lo = F.col(hi), F.col(lo)
+    carried = F.shiftleft(hi.bitwiseAND((1 << CHAR_BITS) - 1), 2 * CHAR_BITS)
+    return [F.shiftright(hi, CHAR_BITS), F.shiftright(lo, CHAR_BITS).bitwiseOR(carried)]
 
 
 def _discounts(level: DataFrame) -> tuple[float, float, float]:
@@ -150,88 +210,159 @@ def _discounts(level: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * r[f"n{k + 1}"] / r[f"n{k}"], 0.0), float(k)) for k in (1, 2, 3))
 
 
-def fit(counts: DataFrame) -> list[Level]:
-    """The model of a table (gram, n), lowest order first."""
+def fit(counts: DataFrame) -> Model:
+    """The model of a table (hi, lo, n)."""
     tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # a lower order counts the different n-grams that end in it
-        tables[order] = tables[order + 1].groupBy(F.col("gram").bitwiseAND(2 ** (SYMBOL_BITS * order) - 1).alias("gram")).agg(F.count("*").alias("n"))
-    below, model = None, []
+        hi, lo = _suffix(order)
+        tables[order] = materialise(tables[order + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("n")))
+    model = Model([], [], tables[1].count())
     for order in range(1, ORDER + 1):
-        level = materialise(tables[order])
+        level = tables[order]
         d1, d2, d3 = _discounts(level)
         n = F.col("n")
         discount = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-        level = level.withColumn("context", F.shiftright("gram", SYMBOL_BITS)).withColumn("d", F.least(discount, n))
-        contexts = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-        joined = level.join(contexts, "context")
-        if below is None:
-            lower = F.lit(1.0 / 2**SYMBOL_BITS)
+        (chi, clo), (shi, slo) = _context(), _suffix(order - 1)
+        level = level.select("hi", "lo", "n", F.least(discount, n).alias("d"), chi.alias("chi"), clo.alias("clo"), shi.alias("shi"), slo.alias("slo"))
+        contexts = level.groupBy("chi", "clo").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
+        joined = level.join(contexts, ["chi", "clo"])
+        if order == 1:
+            lower = F.lit(1.0 / (model.characters + 1))  # one for all that was never seen
         else:
-            low_bits = 2 ** (SYMBOL_BITS * (order - 1)) - 1
-            joined = joined.withColumn("suffix", F.col("gram").bitwiseAND(low_bits)).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            joined = joined.join(model.grams[-1].toDF("shi", "slo", "lower"), ["shi", "slo"])
             lower = F.col("lower")
         p = (F.col("n") - F.col("d")) / F.col("total") + F.col("held") / F.col("total") * lower
-        below = materialise(joined.select("gram", p.alias("p")))
-        own = below.toArrow()
-        back = contexts.select("context", (F.col("held") / F.col("total")).alias("g")).toArrow()
-        arrays = []
-        for codes, value, of in ((own.column("gram"), own.column("p"), order), (back.column("context"), back.column("g"), order - 1)):
-            h, v = hashed(codes.to_numpy(), of), np.log(np.maximum(value.to_numpy(), 1e-30)).astype(np.float32)
-            s = np.argsort(h)
-            arrays += [h[s], v[s]]
-        model.append(Level(*arrays))
+        model.grams.append(materialise(joined.select("hi", "lo", p.alias("p"))))
+        model.contexts.append(materialise(contexts.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), (F.col("held") / F.col("total")).alias("g"))))
     return model
 
 
-def log_probabilities(model: list[Level], codes: np.ndarray) -> np.ndarray:
-    """Of each code's last symbol after the ones before it; what an order has not seen is backed off."""
-    out, total = np.zeros(len(codes), np.float64), np.zeros(len(codes), np.float64)
-    left = np.arange(len(codes))
+def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log values of (hi, lo, value); the hashes are made on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hi, lo, value = (b.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(hi, lo).view(np.int64)), pa.array(np.log(np.maximum(value, 1e-30)).astype(np.float32))], names=["h", "v"])
+
+    got = table.mapInArrow(run, "h long, v float").toArrow()
+    h, v = got.column("h").to_numpy().view(np.uint64), got.column("v").to_numpy()
+    order = np.argsort(h)
+    return h[order], v[order]
+
+
+def sorted_arrays(model: Model) -> list[Level]:
+    return [Level(*_arrays(g), *_arrays(c)) for g, c in zip(model.grams, model.contexts)]
+
+
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each hash."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def log_probabilities(levels: list[Level], characters: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Of each n-gram's last character after the ones before it; what an order has not seen is backed off."""
+    out, total = np.zeros(len(lo), np.float64), np.zeros(len(lo), np.float64)
+    left = np.arange(len(lo))
     for order in range(ORDER, 0, -1):
-        level, code = model[order - 1], codes[left] & np.uint32(2 ** (SYMBOL_BITS * order) - 1)
-        if len(level.grams):
-            h = hashed(code, order)
-            at = np.minimum(np.searchsorted(level.grams, h), len(level.grams) - 1)
-            found = level.grams[at] == h
-            out[left[found]] = total[left[found]] + level.log_p[at[found]]
-        else:
-            found = np.zeros(len(left), bool)
-        left, code = left[~found], code[~found]
+        level = levels[order - 1]
+        own = _last(hi[left], lo[left], order)
+        at, found = _find(level.grams, hashed(*own))
+        out[left[found]] = total[left[found]] + level.log_p[at[found]]
+        left, (ohi, olo) = left[~found], (x[~found] for x in own)
         if not len(left):
             return out
-        if len(level.contexts):
-            h = hashed(code >> np.uint32(SYMBOL_BITS), order - 1)
-            at = np.minimum(np.searchsorted(level.contexts, h), len(level.contexts) - 1)
-            total[left] += np.where(level.contexts[at] == h, level.log_backoff[at], 0.0)
-    out[left] = total[left] - np.log(2**SYMBOL_BITS)
+        carried = (ohi & ((1 << CHAR_BITS) - 1)) << 2 * CHAR_BITS
+        at, found = _find(level.contexts, hashed(ohi >> CHAR_BITS, olo >> CHAR_BITS | carried))
+        total[left[found]] += level.log_backoff[at[found]]
+    out[left] = total[left] - np.log(characters + 1)
     return out
 
 
+def _log(name: str) -> Column:
+    """Null stays null, which `greatest` alone would pass over."""
+    return F.when(F.col(name).isNotNull(), F.log(F.greatest(F.col(name), F.lit(1e-30))))
+
+
+def joined_log_probabilities(model: Model, wanted: DataFrame, closed: bool) -> DataFrame:
+    """`wanted` (with hi and lo) and log_p: the same back-off as a chain of joins.  Closed: all n-grams are known to be in the model."""
+    if closed:
+        return wanted.join(model.grams[-1], ["hi", "lo"]).withColumn("log_p", _log("p")).drop("p")
+    out = wanted.withColumns({"log_p": F.lit(None).cast("double"), "held": F.lit(0.0)})
+    for order in range(ORDER, 0, -1):
+        shi, slo = _suffix(order)
+        here = out.withColumns({"ghi": shi, "glo": slo})
+        chi, clo = _context("ghi", "glo")
+        here = here.withColumns({"chi": chi, "clo": clo})
+        here = here.join(model.grams[order - 1].toDF("ghi", "glo", "p"), ["ghi", "glo"], "left").join(model.contexts[order - 1].toDF("chi", "clo", "g"), ["chi", "clo"], "left")
+        now = F.coalesce("log_p", F.col("held") + _log("p"))
+        out = here.select(*wanted.columns, now.alias("log_p"), (F.col("held") + F.coalesce(_log("g"), F.lit(0.0))).alias("held"))
+    return out.withColumn("log_p", F.coalesce("log_p", F.col("held") - F.log(F.lit(model.characters + 1.0)))).drop("held")
+
+
 # --- the operator -----------------------------------------------------------------------------------------------------------------
 
+MEASURED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
-def measure(documents: DataFrame, model: list[Level]) -> DataFrame:
-    """(doc_id, lang, the base counts, log_perplexity) for every row; the last is null for a text without characters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = raw_texts(b)
-            base = [base_counts(t) for t in texts]
-            logs = []
-            for t in texts:
-                code, total = grams(t), 0.0
-                for k in range(0, len(code), 1 << 20):
-                    total += float(log_probabilities(model, code[k : k + (1 << 20)]).sum())
-                logs.append(-total / len(code) if len(code) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(logs, pa.float64())],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
-            )
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "lang", "text").mapInArrow(
-        run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    )
+def text_log_perplexity(levels: list[Level], characters: int, text: bytes | None) -> float | None:
+    points, total = padded(text), 0.0
+    for k in range(0, len(points), 1 << 20):
+        hi, lo = grams(points[max(k - ORDER + 1, 0) : k + (1 << 20)])
+        h = np.sort(hashed(hi, lo))  # sorted keys are found faster
+        at, found = _find(levels[-1].grams, h)
+        total += float(levels[-1].log_p[at].sum(dtype=np.float64)) if found.all() else float(log_probabilities(levels, characters, hi, lo).sum())
+    return -total / (len(points) - ORDER + 1) if len(points) else None
+
+
+def _measured(b: pa.RecordBatch | pa.Table, texts: list[bytes | None], levels: list[Level], characters: int) -> list:
+    base = [base_counts(t) for t in texts]
+    logs = [text_log_perplexity(levels, characters, t) for t in texts]
+    return [b.column("doc_id"), b.column("lang"), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(logs, pa.float64())]
+
+
+NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+
+
+def measure(documents: DataFrame, model: Model, params: Params = Params(), closed: bool = False) -> DataFrame:
+    """(doc_id, lang, the base counts, log_perplexity) for every row; the last is null for a text without characters.
+
+    Closed: the model was fitted on these documents, among others.
+    """
+    out = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {MEASURED}"
+    given, characters = documents.select("doc_id", "lang", "text"), model.characters
+    if sum(t.count() for t in model.grams + model.contexts) <= params.array_entries:
+        levels = sorted_arrays(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(_measured(b, raw_texts(b), levels, characters), names=NAMES)
+
+        return given.mapInArrow(run, out)
+
+    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = given.withColumn("segment", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chars // params.segment_chars + 1)))
+    dealt = materialise(dealt)  # segments stay as they are, whatever is run again
+
+    def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        found = [grams(padded(text)) for text in raw_texts(t)]
+        hi, lo = (np.concatenate([x[k] for x in found]) for k in range(2))
+        first = np.unique(hashed(hi, lo), return_index=True)[1]
+        return pa.table({"segment": pa.array([key[0].as_py()] * len(first), pa.int64()), "hi": pa.array(hi[first]), "lo": pa.array(lo[first])})
+
+    def score(key: tuple[pa.Scalar, ...], t: pa.Table, known: pa.Table) -> pa.Table:
+        h = hashed(known.column("hi").to_numpy(), known.column("lo").to_numpy())
+        order = np.argsort(h)
+        none = np.zeros(0, np.uint64)
+        own = Level(h[order], known.column("log_p").to_numpy().astype(np.float32)[order], none, none.astype(np.float32))
+        return pa.table(_measured(t, raw_texts(t), [own], characters), names=NAMES)
+
+    wanted = dealt.groupBy("segment").applyInArrow(ask, "segment long, hi long, lo long")
+    known = joined_log_probabilities(model, wanted, closed)
+    return dealt.groupBy("segment").cogroup(known.groupBy("segment")).applyInArrow(score, out)
 
 
 def bands(measured: DataFrame, params: Params = Params()) -> DataFrame:
@@ -245,7 +376,7 @@ def bands(measured: DataFrame, params: Params = Params()) -> DataFrame:
         cut = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / 1000
         return run.groupBy(*by).agg(cut(0.25).alias("q1"), cut(0.75).alias("q3"), F.max("all").alias("documents"))
 
-    # 64 symbols: at most 4200 bins, whatever the corpus
+    # no probability is below 1e-30: at most 70,000 bins, whatever the corpus
     every = quartiles(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select(F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
     own = quartiles(bins, ["lang"]).join(F.broadcast(every))  # one row beside each
     enough = F.col("documents") >= params.least_documents
@@ -259,6 +390,6 @@ def judge(documents: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, lang, base counts, base_failed, log_perplexity, low, high, kept) for every row."""
     model = fit(materialise(count_grams(documents)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = materialise(measure(documents, model).withColumn("base_failed", failed))
+    measured = materialise(measure(documents, model, params, closed=True).withColumn("base_failed", failed))
     out = measured.join(bands(measured, params), F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))

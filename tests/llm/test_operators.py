@@ -1,11 +1,13 @@
 """Each operator against a brute-force version, and over rows of every awkward kind."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -135,12 +137,13 @@ def test_base_counts_by_brute_force():
 
 
 def brute_kn(texts):
-    """Probabilities of modified Kneser-Ney by its formulas, over dictionaries."""
-    counts = {4: Counter(int(c) for t in texts for c in quality.grams(t.encode()))}
-    for n in (3, 2, 1):
-        counts[n] = Counter(g & (1 << 6 * n) - 1 for g in counts[n + 1])
-    p = {0: {0: 1 / 64}}
-    for n in (1, 2, 3, 4):
+    """Probabilities of modified Kneser-Ney by its formulas, over dictionaries, for each order."""
+    pad = (quality.BEFORE,) * 4
+    counts = {5: Counter(t[i : i + 5] for x in texts for t in [pad + tuple(map(ord, x))] for i in range(len(t) - 4))}
+    for n in (4, 3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    p, back = {0: {(): 1 / (len(counts[1]) + 1)}}, {}
+    for n in (1, 2, 3, 4, 5):
         c = counts[n]
         of = Counter(c.values())
         if all(of[k] for k in (1, 2, 3, 4)):
@@ -151,24 +154,102 @@ def brute_kn(texts):
         cut = {g: min(d[min(x, 3) - 1], x) for g, x in c.items()}
         total, held = Counter(), Counter()
         for g, x in c.items():
-            total[g >> 6] += x
-            held[g >> 6] += cut[g]
-        low = (1 << 6 * (n - 1)) - 1
-        p[n] = {g: (x - cut[g]) / total[g >> 6] + held[g >> 6] / total[g >> 6] * p[n - 1][g & low] for g, x in c.items()}
-    return p[4]
+            total[g[:-1]] += x
+            held[g[:-1]] += cut[g]
+        back[n] = {g: held[g] / total[g] for g in total}
+        p[n] = {g: (x - cut[g]) / total[g[:-1]] + back[n][g[:-1]] * p[n - 1][g[1:]] for g, x in c.items()}
+    return counts[5], p, back
+
+
+def brute_p(p, back, gram):
+    if gram in p[len(gram)]:
+        return p[len(gram)][gram]
+    return back[len(gram)].get(gram[:-1], 1.0) * brute_p(p, back, gram[1:]) if gram else p[0][()]
+
+
+def as_arrays(grams):
+    c = np.array(grams, dtype=np.int64).reshape(-1, 5)
+    return c[:, 0] << 21 | c[:, 1], (c[:, 2] << 21 | c[:, 3]) << 21 | c[:, 4]
+
+
+@pytest.mark.parametrize("kinds", [7131, 12])
+def test_grams_are_counted_whole(spark, monkeypatch, kinds):
+    """Runs, long texts and too many kinds of characters cut no n-gram."""
+    monkeypatch.setattr(quality, "MOST_KINDS", kinds)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\0 é\U0001f600" + "".join(map(chr, range(100, 130)))) for _ in range(n)) for n in (0, 1, 3, 4, 5, 60, 300, 1200)]
+    texts[3] = texts[4][:4]
+    size, expected = 50, brute_kn(texts)[0]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts + [None])], names=["text"])
+    seen = []
+
+    class Given:  # runs the task's function here, where the constant is set
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, run, _):
+            seen.extend(run(iter([batch])))
+            return spark.range(0).selectExpr("id hi", "id lo", "id n")
+
+    quality.count_grams(Given(), size)
+    got = Counter()
+    for b in seen:
+        for hi, lo, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[hi, lo] += n
+    keys = list(expected)
+    assert got == {(int(h), int(x)): expected[k] for k, h, x in zip(keys, *as_arrays(keys))}
 
 
 def test_kneser_ney_by_brute_force(spark):
     rng = random.Random(3)
-    texts = [words(rng, 150) for _ in range(20)]
+    texts = [words(rng, 150) + rng.choice(["", " é", " \U0001f600ß"]) for _ in range(20)]
     model = quality.fit(quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)))
-    expected = brute_kn(texts)
-    codes = np.array(sorted(expected), dtype=np.uint32)
-    assert np.allclose(np.exp(quality.log_probabilities(model, codes)), [expected[int(c)] for c in codes], rtol=1e-4)
-    # what was never seen is backed off, and the probabilities after a context add up to one
-    context = codes[len(codes) // 2] >> 6
-    every = np.arange(64, dtype=np.uint32) | np.uint32(context << 6)
-    assert np.exp(quality.log_probabilities(model, every)).sum() == pytest.approx(1.0, abs=1e-3)
+    counts, p, back = brute_kn(texts)
+    levels, keys = quality.sorted_arrays(model), sorted(counts)
+    assert model.characters == len(p[1])
+    unseen = [tuple(rng.choice([*map(ord, "abé ~"), quality.BEFORE]) for _ in range(5)) for _ in range(200)]
+    context = keys[len(keys) // 2][:4]
+    every = [(*context, *g) for g in p[1]]
+    for asked in (keys, unseen, every):
+        expected = [brute_p(p, back, g) for g in asked]
+        hi, lo = as_arrays(asked)
+        assert np.allclose(np.exp(quality.log_probabilities(levels, model.characters, hi, lo)), expected, rtol=1e-4)
+        table = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(hi, lo))], "k long, hi long, lo long")
+        joined = sorted(quality.joined_log_probabilities(model, table, closed=False).select("k", "log_p").collect())
+        assert np.allclose(np.exp([r.log_p for r in joined]), expected, rtol=1e-6)
+    # the probabilities after a context add up to one: those of the seen characters, and of one that was never seen
+    assert sum(brute_p(p, back, g) for g in [*every, (*context, 1)]) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """Perplexities, bands and verdicts from the formulas; the same whether the model goes to the tasks or stays where it is."""
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(40, 120), "aeioulmnrst"), "en" if i % 3 else "fr", "s", 0) for i in range(180)]
+    rows += [(500 + k, " ".join("".join(rng.choice("#$%&zqxjkvwy0") for _ in range(9)) for _ in range(60)), "fr", "s", 0) for k in range(3)]
+    rows += [(600, None, "en", "s", 0), (601, "", None, "s", 0), (602, "é", None, "s", 0), (3, rows[3][1], "en", "s", 0)]
+    texts = [r[1] or "" for r in rows]
+    counts, p, back = brute_kn(texts)
+    pad, expected = (quality.BEFORE,) * 4, []
+    for i, t, lang, _, _ in rows:
+        x = pad + tuple(map(ord, t or ""))
+        log = -sum(math.log(p[5][x[k : k + 5]]) for k in range(len(x) - 4)) / len(t) if t else None
+        n, _, _, _, repeated = quality.base_counts((t or "").encode())
+        expected.append((i, lang, n < 50 or 100 * repeated > 50 * n, log))
+    verdicts = []
+    for _, lang, failed, log in expected:
+        own = sorted(math.floor(x * 1000) for _, of, f, x in expected if of == lang and not f and x is not None)
+        if failed or log is None:
+            verdicts.append(False)
+            continue
+        q1, q3 = (own[math.ceil(len(own) * q) - 1] / 1000 for q in (0.25, 0.75))
+        width = max(q3 - q1, 0.02) * 4
+        verdicts.append(q1 - width <= log <= q3 + width)
+    assert 0 < sum(verdicts) < len(verdicts) and not any(v for v, r in zip(verdicts, rows) if 500 <= r[0] < 600)
+    for params in (quality.Params(least_documents=1), quality.Params(least_documents=1, array_entries=0, segment_chars=9000)):
+        got = quality.judge(spark.createDataFrame(rows, DOCS).repartition(3), params).collect()
+        assert sorted((r.doc_id, r.kept) for r in got) == sorted((e[0], v) for e, v in zip(expected, verdicts))
+        logs = {r.doc_id: r.log_perplexity for r in got}
+        assert all(logs[i] == (None if x is None else pytest.approx(x, abs=1e-5)) for i, _, _, x in expected)
 
 
 def test_quality_keeps_prose_and_drops_noise(spark):
