@@ -9,12 +9,14 @@ The model is looked up in sorted arrays of n-gram hashes with log probabilities.
 counted first) the arrays go to every task.  A larger model stays where it is: documents are dealt into segments, each segment asks for
 its different n-grams by a join, and is scored with the arrays of those alone.  Both ways give the same numbers.
 
-A document is rejected when its log perplexity lies outside its language's band: the quartiles widened by `widen` times their distance.
-Quartiles come from a histogram over all documents that pass the base rules (a thousandth of a nat wide), so they are exact to that
-width and the same on every run.  A language with fewer than `least_documents` such documents has the band of all languages together.
-
-Defined results: a null or empty text has no words and fails the base rules; a null lang is a language of its own; copies get equal
-results; an empty table gives an empty result; extra columns are not read.
+Perplexity is taken per word: the negative log probability of the whole text over its number of words.  By character, garbled words are
+made up for by the marks and endings that they repeat, which are easily foreseen.  A document is rejected when its log perplexity lies
+outside its language's band: the quartiles widened by `widen` times their distance.  Quartiles come from a histogram over all documents
+that pass the base rules (bins a ten-thousandth of their value wide), so they are exact to that width and the same on every run.  A
+language with fewer than `least_documents` such documents has the band of all languages together.
+
+Defined results: a null or empty text and one of white space has no words and no perplexity, and fails the base rules; a null lang is a
+language of its own; copies get equal results; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ ORDER, CHAR_BITS = 5, 21
 BEFORE = 0x110000  # stands before a text; no code point
 MOST_KINDS = 7131  # different characters in one run of `count_grams`: 7131 ** 5 < 2 ** 64
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; per cent of words
+BINS = 10_000  # of the histogram, for each factor of e
 
 
 @dataclass(frozen=True)
 class Params:
-    widen: float = 4.0
+    widen: float = 2.5
     least_documents: int = 50
     array_entries: int = 1 << 22  # 50 MB
     segment_chars: int = 1 << 22
@@ -308,19 +311,21 @@ def joined_log_probabilities(model: Model, wanted: DataFrame, closed: bool) -> D
 MEASURED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 
-def text_log_perplexity(levels: list[Level], characters: int, text: bytes | None) -> float | None:
+def text_log_perplexity(levels: list[Level], characters: int, text: bytes | None, n_words: int) -> float | None:
+    if not n_words:
+        return None
     points, total = padded(text), 0.0
     for k in range(0, len(points), 1 << 20):
         hi, lo = grams(points[max(k - ORDER + 1, 0) : k + (1 << 20)])
         h = np.sort(hashed(hi, lo))  # sorted keys are found faster
         at, found = _find(levels[-1].grams, h)
         total += float(levels[-1].log_p[at].sum(dtype=np.float64)) if found.all() else float(log_probabilities(levels, characters, hi, lo).sum())
-    return -total / (len(points) - ORDER + 1) if len(points) else None
+    return -total / n_words
 
 
 def _measured(b: pa.RecordBatch | pa.Table, texts: list[bytes | None], levels: list[Level], characters: int) -> list:
     base = [base_counts(t) for t in texts]
-    logs = [text_log_perplexity(levels, characters, t) for t in texts]
+    logs = [text_log_perplexity(levels, characters, t, counts[0]) for t, counts in zip(texts, base)]
     return [b.column("doc_id"), b.column("lang"), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(logs, pa.float64())]
 
 
@@ -328,7 +333,7 @@ NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
 
 
 def measure(documents: DataFrame, model: Model, params: Params = Params(), closed: bool = False) -> DataFrame:
-    """(doc_id, lang, the base counts, log_perplexity) for every row; the last is null for a text without characters.
+    """(doc_id, lang, the base counts, log_perplexity) for every row; the last is null for a text without words.
 
     Closed: the model was fitted on these documents, among others.
     """
@@ -367,16 +372,17 @@ def measure(documents: DataFrame, model: Model, params: Params = Params(), close
 
 def bands(measured: DataFrame, params: Params = Params()) -> DataFrame:
     """(band_lang, low, high) for each language, by `base_failed` and `log_perplexity`."""
-    bins = measured.where("not base_failed and log_perplexity is not null").groupBy("lang", F.floor(F.col("log_perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n"))
+    bin_of = F.floor(F.log(F.greatest(F.col("log_perplexity"), F.lit(1e-3))) * BINS)
+    bins = measured.where("not base_failed and log_perplexity is not null").groupBy("lang", bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
     def quartiles(df: DataFrame, by: list[str]) -> DataFrame:
         along = Window.partitionBy(*by).orderBy("bin")
         whole = Window.partitionBy(*by)
         run = df.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(whole))
-        cut = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / 1000
+        cut = lambda q: F.exp(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / BINS)
         return run.groupBy(*by).agg(cut(0.25).alias("q1"), cut(0.75).alias("q3"), F.max("all").alias("documents"))
 
-    # no probability is below 1e-30: at most 70,000 bins, whatever the corpus
+    # a text has below 2 ** 31 characters of at most 70 nats each, a band 50 words or more: at most 290,000 bins, whatever the corpus
     every = quartiles(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select(F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
     own = quartiles(bins, ["lang"]).join(F.broadcast(every))  # one row beside each
     enough = F.col("documents") >= params.least_documents
