@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, mixing, pii, quality, secrets, sharding, simhash, spelling, suffix_dedup, toxicity
 from .common import materialise, table
 
 
@@ -66,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,6 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op4_suffix_dedup, op5_benchmark_decontamination, op6_personal_data, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
+    own += [op13_spelling_variants]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
