@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality, secrets, sharding, simhash, spelling, suffix_dedup, toxicity
+from . import chat, decontaminate, mixing, pii, quality, secrets, sharding, simhash, spelling, sql, suffix_dedup, toxicity, trie, urls
 from .common import materialise, table
 
 
@@ -66,6 +66,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op12_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
@@ -78,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_chat_windows, op2_quality_rules, op3_simhash_components, op4_suffix_dedup, op5_benchmark_decontamination, op6_personal_data, op7_kd_tree_shards, op8_secret_spans, op9_poisson_mixture, op10_toxicity]
-    own += [op13_spelling_variants]
+    own += [op11_conversation_trie, op12_url_verdicts, op13_spelling_variants]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -102,4 +111,4 @@ select doc_id, source, copies, unnest(range(copies))::int as copy_no, strlen(tex
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_poisson_mixture": OP9_SQL}
+    return {"op9_poisson_mixture": OP9_SQL, "op11_conversation_trie": sql.TRIE, "op12_url_verdicts": sql.URLS, "op13_spelling_variants": sql.SPELLING}
