@@ -1,7 +1,14 @@
-"""Partial and token-set ratios (0 to 100) by their published definitions, on top of the InDel similarity."""
+"""Partial and token-set ratios (0 to 100) by their published definitions, on top of the InDel similarity.
+
+The similarity of a string with all windows of another takes one pass: cells of the comparison matrix are combed into a braid, whose strands
+tell the longest common subsequence with every window at once (semi-local comparison).  Cells of a diagonal don't depend on each other, so
+arrays comb a diagonal in one step, for many strings beside each other.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, bit-parallel: one big integer stands for a row."""
@@ -23,47 +30,167 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-def partial_ratio(a: str, b: str, above: float = 0.0) -> float:
-    """The best ratio of the shorter string with a window of the longer one (windows may be cut at either end); `above` if none is better.
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
 
-    From one window to the next the common subsequence grows by one at most, so windows that cannot catch up are jumped over.
+def comb(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each pair (string, other) of codes: from which place of the other the strand comes that ends at a place (negative: from none).
+
+    Shorter strings are filled up with codes that no text has: such rows and columns leave what is common as it is.
     """
+    most, width = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    kind = np.int16 if most + width < 2**15 else np.int32
+    turned, across = np.full((len(pairs), most), 0x110000, np.uint32), np.full((len(pairs), width), 0x110001, np.uint32)
+    for k, (a, b) in enumerate(pairs):
+        turned[k, most - len(a) :] = a[::-1]
+        across[k, : len(b)] = b
+    flat = np.tile(np.arange(most, dtype=kind), (len(pairs), 1))
+    down = np.tile(np.arange(most, most + width, dtype=kind), (len(pairs), 1))
+    for d in range(most + width - 1):
+        top, low = max(0, d - width + 1), min(most - 1, d)
+        rows, columns = slice(most - 1 - low, most - top), slice(d - low, d - top + 1)
+        h, v = flat[:, rows], down[:, columns]
+        less = np.where(turned[:, rows] == across[:, columns], v, np.minimum(h, v))
+        v += h - less
+        h[...] = less
+    return [down[k, : len(b)].astype(np.int64) - most for k, (_, b) in enumerate(pairs)]
+
+
+def best_window(start: np.ndarray, size: int) -> float:
+    """The best ratio of a string of a size with the windows of another, at most as long and possibly cut at an end; start: the other's strands."""
+    n = len(start)
+    ends = np.arange(n)
+    within = start >= 0
+    if n < size:
+        return 0.0
+    # a whole window from i to i + size lacks the strands that begin and end in it
+    first, last = np.maximum(ends - size + 1, 0), np.minimum(start, n - size)
+    held = within & (first <= last)
+    change = np.bincount(first[held], minlength=n + 2) - np.bincount(last[held] + 1, minlength=n + 2)
+    best = 200.0 * (size - np.cumsum(change)[: n - size + 1].min()) / (2 * size)
+    cut = np.arange(1, size)
+    if len(cut):
+        head = cut - np.cumsum(within)[: size - 1]
+        tail = cut - np.cumsum(np.bincount(start[within], minlength=n)[::-1])[: size - 1]
+        best = max(best, (200.0 * np.maximum(head, tail) / (size + cut)).max())
+    return float(best)
+
+
+def partial_ratio(a: str, b: str, above: float = 0.0) -> float:
+    """The best ratio of the shorter string with a window of the longer one (windows may be cut at either end); `above` if none is better."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else above
     if short in long:
         return 100.0
-    n, start, best = len(short), 1 - len(short), above
-    while start < len(long):
-        lo, hi = max(start, 0), min(start + n, len(long))
-        size = hi - lo
-        common = lcs_length(short, long[lo:hi])
-        best = max(best, 200.0 * common / (n + size))
-        # at the right end windows only shrink, which a shorter total can reward
-        lacking = best * (n + (size if hi < len(long) else 0)) / 200.0 - common
-        start += max(1, int(lacking))
-    return best
+    return max(above, best_window(comb([(codes(short), codes(long))])[0], len(short)))
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """The best ratio among the common words, and the common words with either side's own ones."""
+def token_set_ratio(a: str, b: str, above: float = 0.0) -> float:
+    """The best ratio among the common words, and the common words with either side's own ones; `above` if none is better."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
-        return 0.0
+        return above
     common, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
     if common and (not left or not right):
         return 100.0
     c, cl, cr = " ".join(common), " ".join(common + left), " ".join(common + right)
-    best = ratio(cl, cr)
-    return max(best, ratio(c, cl), ratio(c, cr)) if common else best
+    best = above
+    if common:  # the common words begin both, so what is alike is their length
+        best = max(best, 200.0 * len(c) / (len(c) + min(len(cl), len(cr))))
+    # no more can be common than the shorter one has
+    if 200.0 * min(len(cl), len(cr)) / (len(cl) + len(cr)) > best:
+        best = max(best, ratio(cl, cr))
+    return best
+
+
+# --- lines and pages --------------------------------------------------------------------------------------------------------------
+
+CELLS, GRAM = 1 << 20, 3
+
+
+def grams(text: str) -> set[str]:
+    """The different runs of three characters inside the words of a text."""
+    return {w[k : k + GRAM] for w in set(text.split(" ")) for k in range(len(w) - GRAM + 1)}
+
+
+def upper_bound(n: int, m: int, here: int, there: int) -> float:
+    """No larger can the ratios of a line of n and a candidate of m characters be if each lacks so many of the other's runs: an edit spoils three runs on one side and two on the other at most."""
+    part = (here if n <= m else there) / GRAM
+    whole = max(here / GRAM, there / GRAM, (here + there) / (2 * GRAM - 1))
+    return 100.0 * max(1 - part / (2 * min(n, m)), 1 - whole / (n + m)) + 1e-9
+
+
+class Line:
+    """A line, the page's text, the candidates' places (start, end) in it, and the best ratio so far."""
+
+    def __init__(self, line: str, page: str, places: list[tuple[int, int]]):
+        self.line, self.page, self.best = line, page, 0.0
+        own = grams(line)
+        self.open: list[tuple[float, int, int]] = []
+        for s, e in places:
+            text = page[s:e]
+            if not text or not line:
+                continue
+            if text in line or line in text:
+                self.best = 100.0
+                return
+            other = grams(text)
+            both = len(own & other)
+            self.open.append((upper_bound(len(line), len(text), len(own) - both, len(other) - both), s, e))
+        self.open.sort()
+
+    def take(self, most: int | None = None) -> list[tuple[int, int]]:
+        """The most promising candidates (all by default); those that cannot beat the best ratio are left out."""
+        self.open = [x for x in self.open if x[0] > self.best]
+        n = len(self.open) if most is None else most
+        taken, self.open = self.open[len(self.open) - n :], self.open[: len(self.open) - n]
+        return [(s, e) for _, s, e in taken]
+
+
+def _combed(asked: list[tuple[Line, list[tuple[int, int]]]]) -> None:
+    """Works out partial ratios: candidates shorter than their line one by one, the others in one pass over their part of the page."""
+    work = []
+    for own, places in asked:
+        line = codes(own.line)
+        long = [(s, e) for s, e in places if e - s >= len(line)]
+        work += [(codes(own.page[s:e]), line, own, [(0, len(line))]) for s, e in places if e - s < len(line)]
+        if long:
+            low, high = min(s for s, _ in long), max(e for _, e in long)
+            work.append((line, codes(own.page[low:high]), own, [(s - low, e - low) for s, e in long]))
+    work.sort(key=lambda w: (len(w[1]).bit_length(), len(w[0]), len(w[1])))
+    held: list[tuple] = []
+    most = width = 0
+    for w in [*work, None]:
+        if w is not None:
+            a, b = max(most, len(w[0])), max(width, len(w[1]))
+        if held and (w is None or (len(held) + 1) * (a + b) > CELLS // 4 or a * b > 2 * len(w[0]) * len(w[1]) + 10_000):
+            for (short, _, own, windows), start in zip(held, comb([x[:2] for x in held])):
+                own.best = max(own.best, *[best_window(start[s:e] - s, len(short)) for s, e in windows])
+            held = []
+            if w is not None:
+                a, b = len(w[0]), len(w[1])
+        if w is not None:
+            held.append(w)
+            most, width = a, b
+
+
+def best_ratios(lines: list[Line]) -> list[float]:
+    """The best ratio of each line with any of its candidates: the most promising one first, then those that may still beat it."""
+    for most in (1, None):
+        asked = [(own, places) for own in lines if (places := own.take(most))]
+        if asked:
+            _combed(asked)
+        for own, places in asked:
+            for s, e in places:
+                own.best = token_set_ratio(own.line, own.page[s:e], own.best)
+    return [own.best for own in lines]
 
 
 def best_ratio(line: str, candidates: list[str]) -> float:
-    best = 0.0
-    for other in candidates:
-        best = max(best, token_set_ratio(line, other))
-        if best < 100.0:
-            best = partial_ratio(line, other, best)
-        if best >= 100.0:
-            return 100.0
-    return best
+    page, places = "", []
+    for c in candidates:
+        places.append((len(page), len(page) + len(c)))
+        page += c + " "
+    return best_ratios([Line(line, page, places)])[0]

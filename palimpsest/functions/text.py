@@ -50,10 +50,21 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def _stable() -> str:
+    """The characters of the Latin, Greek, Cyrillic and punctuation blocks that NFKC leaves as they are, beside any other one of them."""
+    blocks = [*range(0x300), *range(0x370, 0x530), *range(0x2010, 0x2070)]
+    own = [c for c in blocks if unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c))]
+    ends = [(a, b) for a, b in zip([None, *own], [*own, None]) if a is None or b is None or b != a + 1]
+    return "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for (_, first), (last, _) in zip(ends, ends[1:]))
+
+
+STABLE = f"^[{_stable()}]*$"
+
+
 def nfkc_column(df: DataFrame, column: str) -> DataFrame:
-    """Normalises a column to NFKC.  Spark has no such function, so the rows that are not plain ASCII go through Arrow; the others don't."""
-    plain = F.coalesce(F.col(column), F.lit("")).rlike(r"^\p{ASCII}*$")
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, _nfkc(F.col(column))))
+    """Normalises a column to NFKC.  Spark has no such function, so texts that it may change go through Arrow, in the same pass; the others pass as nulls."""
+    other = ~F.col(column).rlike(STABLE)
+    return df.withColumn(column, F.coalesce(_nfkc(F.when(other, F.col(column))), F.col(column)))
 
 
 def excerpt(text: Column, most: int = 400) -> Column:

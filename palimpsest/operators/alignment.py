@@ -1,14 +1,18 @@
 """Lines of the text layer against what OCR reads on the same page.
 
-First natively: a line that occurs in a candidate (or the other way round), or whose words include a candidate's (or the other way
-round), aligns perfectly by definition.  What is left goes page by page to an Arrow function that computes the partial and the token-set
-ratio.
+Natively: a line that occurs in a candidate (or the other way round), or whose words include a candidate's (or the other way round), aligns
+perfectly by definition.  What is left goes to an Arrow function line by line, whole, however long: runs of three characters give each
+candidate of the page an upper bound, the most promising one is compared first, and the others only where their bound exceeds its ratio.
+
+Pages stay together up to there, so a page's lines and candidates must fit a task; the lines are dealt out anew for the comparison.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
@@ -18,15 +22,36 @@ LEAST_LENGTH, JOINED = 12, 3
 PAGE = ["doc_id", "page"]
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many as shuffles have.  The work here is in comparing, so small rows must not be put together by their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_page(df: DataFrame) -> DataFrame:
+    return df.repartition(_tasks(df), *PAGE)
+
+
+def _read(ocr_lines: DataFrame) -> DataFrame:
+    return _by_page(tx.nfkc_column(ocr_lines, "text").select(*PAGE, "line_no", tx.comparison_form(F.col("text")).alias("norm")))
+
+
 def ocr_candidates(ocr_lines: DataFrame) -> DataFrame:
-    """Each OCR line and each run of two or three, in comparison form."""
-    own = tx.nfkc_column(ocr_lines, "text").select(*PAGE, "line_no", tx.comparison_form(F.col("text")).alias("norm"))
+    """Each OCR line and each run of two or three, in comparison form, and where it stands in the page's text (`page_texts`)."""
     along = Window.partitionBy(*PAGE).orderBy("line_no")
-    own = own.withColumns({f"next{k}": F.lead("norm", k).over(along) for k in range(1, JOINED)})
+    own = _read(ocr_lines)
+    before = F.coalesce(F.sum(F.char_length("norm") + 1).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumns({"before": before} | {f"next{k}": F.lead("norm", k).over(along) for k in range(1, JOINED)})
     runs = [F.col("norm")] + [F.when(F.col(f"next{k}").isNotNull(), F.concat_ws(" ", "norm", *[f"next{j}" for j in range(1, k + 1)])) for k in range(1, JOINED)]
-    out = own.select(*PAGE, "line_no", F.posexplode(F.array(*runs)).alias("width", "candidate"))
+    out = own.select(*PAGE, "line_no", "before", F.posexplode(F.array(*runs)).alias("width", "candidate")).where("candidate is not null")
     # blank lines take a place in a run, but a run of blanks only is none
-    return out.withColumns({"width": F.col("width") + 1, "candidate": F.trim("candidate")}).where("candidate is not null and candidate <> ''")
+    start = (F.col("before") + F.char_length("candidate") - F.char_length(F.ltrim("candidate"))).cast("int")
+    return out.select(*PAGE, "line_no", F.col("width") + 1, start.alias("start"), F.trim("candidate").alias("candidate")).toDF(*PAGE, "line_no", "width", "start", "candidate").where("candidate <> ''")
+
+
+def page_texts(ocr_lines: DataFrame) -> DataFrame:
+    """(doc_id, page, page_text): the OCR lines of a page in comparison form, joined by blanks."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "norm"))), lambda x: x["norm"])
+    return _read(ocr_lines).groupBy(*PAGE).agg(F.array_join(ordered, " ").alias("page_text"))
 
 
 def comparable_lines(lines: DataFrame) -> DataFrame:
@@ -34,35 +59,45 @@ def comparable_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("norm", tx.comparison_form(F.col("text"))).where(F.char_length("norm") >= LEAST_LENGTH)
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(text, " "))
+
+
+def _perfect(line: Column, words: Column, other: Column) -> Column:
+    subset = (F.size(F.array_except(words, other["words"])) == 0) | (F.size(F.array_except(other["words"], words)) == 0)
+    return line.contains(other["text"]) | other["text"].contains(line) | subset
+
+
+def _beside_candidates(lines: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Comparable lines of pages with candidates: `aligned`, and `found`, the page's candidates."""
+    place = F.struct("start", F.col("candidate").alias("text"), _words(F.col("candidate")).alias("words"))
+    some = candidates.groupBy(*PAGE).agg(F.collect_list(place).alias("found"))
+    own = _by_page(lines.select(*PAGE, "line_no", "norm")).withColumn("words", _words(F.col("norm")))
+    return own.join(some, PAGE).withColumn("aligned", F.exists("found", lambda c: _perfect(F.col("norm"), F.col("words"), c)))
+
+
 def exact_alignment(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """Comparable lines of pages with candidates, with `aligned`: whether a candidate scores 100 by definition."""
-    own = lines.select(*PAGE, "line_no", "norm")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    some = candidates.groupBy(*PAGE).agg(F.collect_set("candidate").alias("found"))
+    return _beside_candidates(lines, candidates).select(*PAGE, "line_no", "norm", "aligned")
 
-    def perfect(c):
-        a, b = words(F.col("norm")), words(c)
-        return F.col("norm").contains(c) | c.contains(F.col("norm")) | (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
 
-    return own.join(some, PAGE).select(*PAGE, "line_no", "norm", F.exists("found", perfect).alias("aligned"))
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = zip(*(b.column(c).to_pylist() for c in ("norm", "page_text", "places")))
+        told = [None if places is None else fuzzy.Line(norm, text, [(p["start"], p["end"]) for p in places]) for norm, text, places in rows]
+        found = iter(fuzzy.best_ratios([x for x in told if x is not None]))
+        scores = [100.0 if x is None else next(found) for x in told]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in (*PAGE, "line_no")] + [pa.array(scores, pa.float64())], names=[*PAGE, "line_no", "score"])
 
 
 def alignment_scores(lines: DataFrame, ocr_lines: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, score) of every comparable line on pages with OCR text."""
-    candidates = ocr_candidates(ocr_lines)
-    told = exact_alignment(comparable_lines(lines), candidates)
-    done = told.where("aligned").select(*PAGE, "line_no", F.lit(100.0).alias("score"))
+    told = _beside_candidates(comparable_lines(lines), ocr_candidates(ocr_lines)).join(page_texts(ocr_lines), PAGE)
+    open_ = ~F.col("aligned")
+    places = F.transform("found", lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.char_length(p["text"])).alias("end")))
+    slim = told.select(*PAGE, "line_no", *[F.when(open_, c).alias(n) for c, n in ((F.col("norm"), "norm"), (F.col("page_text"), "page_text"), (places, "places"))])
     kind = lines.schema["doc_id"].dataType.simpleString()
-
-    def page(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = right["candidate"].tolist()
-        return left[["doc_id", "page", "line_no"]].assign(score=[fuzzy.best_ratio(n, found) for n in left["norm"]])
-
-    open_lines = told.where("not aligned").groupBy(*PAGE)
-    # both sides may come from one table, so the right one gets columns of its own
-    right = candidates.select(*PAGE, "candidate").distinct().select(*[F.col(c).alias(c) for c in (*PAGE, "candidate")])
-    rest = open_lines.cogroup(right.groupBy(*PAGE)).applyInPandas(page, f"doc_id {kind}, page int, line_no int, score double")
-    return done.unionByName(rest)
+    return slim.repartition(_tasks(slim), *PAGE, "line_no").mapInArrow(_scored, f"doc_id {kind}, page int, line_no int, score double")
 
 
 def delta_findings(t, floor: float = 72.0) -> DataFrame:

@@ -212,7 +212,7 @@ OCR_PARTS = {"normed": NORMED, "nexts": NEXTS, "cands": CANDS}
 
 @query(sql("select doc_id, page, line_no, width, candidate from cands", "ocr", **OCR_PARTS))
 def ocr_candidates(t):
-    return alignment.ocr_candidates(t.ocr_lines())
+    return alignment.ocr_candidates(t.ocr_lines()).drop("start")
 
 
 ALIGNED = f"select s.doc_id, s.page, s.span_no as line_no, {_norm('text')} as norm from spans s where length({_norm('text')}) >= 12 and exists (select 1 from cands c where c.doc_id = s.doc_id and c.page = s.page)"
@@ -226,14 +226,12 @@ def extraction_delta_exact(t):
 
 @query()
 def detect_extraction_delta(t):
-    lines, read = t.visual_lines()
-    pages = lines.select("doc_id", "page", F.lit(True).alias("ocr_available")).distinct()
-    return _findings(detectors.extraction_delta(detectors.PageTables(None, pages, None, lines, read)))
+    return _findings(detectors.extraction_delta(page_tables(t)))
 
 
 @query()
 def alignment_distribution(t):
-    return alignment.score_distribution(alignment.alignment_scores(*t.visual_lines()))
+    return alignment.score_distribution(alignment.alignment_scores(t.lines(), t.ocr_lines()))
 
 
 @query(sql(f"select doc_id, page, line_no, {_norm('text')} as norm from (select doc_id, page, span_no as line_no, text from spans)", "spans"))

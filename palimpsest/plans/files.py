@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import detectors, metrics
@@ -93,15 +94,30 @@ def instruction_shaped(t):
 
 @query()
 def findings_of_all_detectors(t):
-    """The union with D6, over the wrapped lines that OCR is compared with."""
-    lines, seen = t.visual_lines()
-    own = page_tables(t)
-    return detectors.run(detectors.PageTables(own.spans, own.pages, own.images, lines, seen)).select("doc_id", "finding_id", "detector_id", "severity", "page", "y0", "confidence", "excerpt")
+    """The union with D6, over whole lines, in reading order."""
+    found = detectors.run(page_tables(t))
+    order = Window.partitionBy("doc_id").orderBy(detectors.severity_rank(F.col("severity")), "page", "y0", "detector_id", "finding_id")
+    return found.select("doc_id", "finding_id", "detector_id", "severity", "page", "y0", "confidence", "excerpt", F.row_number().over(order).alias("reading_rank"))
+
+
+@query()
+def severity_counts_of_all_detectors(t):
+    return detectors.severity_counts(detectors.run(page_tables(t)))
+
+
+@query()
+def pages_of_all_detectors(t):
+    return detectors.by_page(detectors.run(page_tables(t)))
+
+
+@query()
+def reports_of_all_detectors(t):
+    return detectors.reports(detectors.run(page_tables(t)))
 
 
 @query()
 def report_files(t):
     """The reports as written, one JSON document to a line."""
     path = f"{scratch(t.spark)}/reports"
-    sinks.write_reports(detectors.reports(detectors.run(page_tables(t), ["D1", "D2", "D3", "D4", "D5"])), path)
+    sinks.write_reports(detectors.reports(detectors.run(page_tables(t))), path)
     return t.spark.read.text(path)

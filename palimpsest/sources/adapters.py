@@ -62,15 +62,6 @@ class Tables:
         seen = self.spans().where("render_mode <> 3 and font_size >= 4 and r < 0.85 and opacity >= 1 and y0 <= 792")
         return seen.select("doc_id", "page", F.col("span_no").alias("line_no"), "h", F.when(F.col("h") % 89 == 0, F.replace("line", F.lit("o"), F.lit("0"))).otherwise(F.col("line")).alias("text"))
 
-    def visual_lines(self) -> tuple[DataFrame, DataFrame]:
-        """All text wrapped at 100 characters, 20 lines to a page, and what OCR reads of it: some lines are hidden from it, some misread."""
-        wrapped = F.flatten(F.transform(F.split("text", "\\n"), lambda p: F.regexp_extract_all(p, F.lit("(?s).{1,100}"), F.lit(0))))
-        rows = self.read("documents").select("doc_id", F.posexplode(wrapped).alias("i", "text")).withColumn("h", F.col("doc_id") * 31 + F.col("i") * 7)
-        y = (40 + 18 * (F.col("i") % 20)).cast("double")
-        lines = rows.select("doc_id", (F.floor(F.col("i") / 20) + 1).cast("int").alias("page"), F.col("i").alias("line_no"), F.lit(72.0).alias("x0"), y.alias("y0"), F.lit(572.0).alias("x1"), (y + 12).alias("y1"), "text", "h")
-        read = F.when(F.col("h") % 89 == 0, F.replace("text", F.lit("o"), F.lit("0"))).otherwise(F.col("text"))
-        return lines.drop("h"), lines.where("h % 211 <> 0").select("doc_id", "page", "line_no", read.alias("text"))
-
     def ocr_words(self) -> DataFrame:
         words = self.ocr_lines().select("doc_id", "page", "line_no", "h", F.posexplode(F.split("text", " ")).alias("word_no", "text"))
         return words.select("doc_id", "page", F.lit(1).alias("block"), F.lit(1).alias("par"), F.col("line_no").alias("line"), "word_no", (20 + (F.col("h") + F.col("word_no")) % 80).cast("double").alias("conf"), "text")
