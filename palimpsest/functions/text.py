@@ -15,6 +15,8 @@ ZERO_WIDTH = ("\u200b", "\u200c", "\u200d", "\u2060", "\ufeff", "\u00ad")
 #: Characters that reorder what is shown.
 BIDI = ("\u202a", "\u202b", "\u202c", "\u202d", "\u202e", "\u2066", "\u2067", "\u2068", "\u2069")
 SPACE = r"(?U)\s+"
+#: The characters with the property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD_CLASS = r"\p{L}\p{N}_"
 
 
@@ -22,12 +24,17 @@ def one_of(characters: tuple[str, ...]) -> str:
     return "[" + "".join(characters) + "]"
 
 
+def without(text: Column, characters: tuple[str, ...]) -> Column:
+    """Most texts hold none of them, which a search tells faster than a replacement."""
+    return F.when(text.rlike(one_of(characters)), F.regexp_replace(text, one_of(characters), "")).otherwise(text)
+
+
 def count_of(text: Column, characters: tuple[str, ...]) -> Column:
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, one_of(characters), ""))
+    return F.char_length(text) - F.char_length(without(text, characters))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -50,15 +57,12 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def _stable() -> str:
-    """The characters of the Latin, Greek, Cyrillic and punctuation blocks that NFKC leaves as they are, beside any other one of them."""
-    blocks = [*range(0x300), *range(0x370, 0x530), *range(0x2010, 0x2070)]
-    own = [c for c in blocks if unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c))]
-    ends = [(a, b) for a, b in zip([None, *own], [*own, None]) if a is None or b is None or b != a + 1]
-    return "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for (_, first), (last, _) in zip(ends, ends[1:]))
+#: Declared so, though it is not: else a filter on what follows from it would be pushed below, and all of it worked out twice.
+_nfkc = _nfkc.asNondeterministic()
 
 
-STABLE = f"^[{_stable()}]*$"
+#: Characters that NFKC leaves as they are beside one another: most of Latin-1, Cyrillic letters, some punctuation and controls.  Few ranges, since every character is tested.
+STABLE = "^[\\x00-\\x9f¡-§©«-®°±¶·»¿-ÿ\u0400-\u0482\u048a-\u052f\u200b-\u200f\u2012-\u2016\u2018-\u2023\u202a-\u202e]*+$"
 
 
 def nfkc_column(df: DataFrame, column: str) -> DataFrame:
@@ -73,9 +77,11 @@ def excerpt(text: Column, most: int = 400) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """The larger of a quarter of the characters (rounded up) and the words."""
+    """The larger of a quarter of the characters (rounded up) and the words, which are counted only where there are blanks enough."""
+    quarter = F.floor((F.char_length(text) + 3) / 4).cast("int")
     words = F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
-    return F.when(text.isNull() | (text == ""), 0).otherwise(F.greatest(F.floor((F.char_length(text) + 3) / 4).cast("int"), words))
+    blanks = F.char_length(text) - F.char_length(F.translate(text, BLANKS, ""))
+    return F.when(text.isNull() | (text == ""), 0).when(blanks < quarter, quarter).otherwise(F.greatest(quarter, words))
 
 
 def whole_term(text: Column, term: str) -> Column:
@@ -147,7 +153,7 @@ def pattern_spans(text: Column, pattern: str, category: str) -> Column:
         (acc["at"] + x["g"] + x["h"]).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["h"]).alias("end"), F.lit(category).alias("category")))).alias("out"),
     )
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    return F.when(text.rlike(pattern), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
 
 
 def boilerplate_spans(text: Column) -> Column:

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_by_hash(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds `is_duplicate` and `duplicate_of` (the first row's id, which is the last column of `order`).
+def first_by_hash(df: DataFrame, keys: list[str], order: list[str], salts: int = 32) -> DataFrame:
+    """Adds `is_duplicate` and `duplicate_of` (the first row's id, which is the last column of `order`).  Rows with a null key are no duplicates.
 
-    The first row of a key is an aggregate, joined back, so one very common text costs no single task a sort.
+    Rows are dealt out once, by key and salt, so a text that half of the rows have is spread over many tasks.  Each of them finds its first
+    row, the firsts of a key (at most `salts`) are compared, and the result goes back to each key and salt.
     """
-    first = df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"))
-    rows = df.join(first, keys, "left")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [*keys, "salt"]
+    rows = df.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts))).repartition(n, *parts)
+    # no filter on the keys here: both sides of the join read one exchange, and null keys find no partner
+    firsts = rows.groupBy(*parts).agg(F.min(F.struct(*order)).alias("own"))
+    told = firsts.withColumn("first", F.min("own").over(Window.partitionBy(*keys))).drop("own")
+    rows = rows.join(told, parts, "left")
     duplicate = F.coalesce(F.struct(*order) != F.col("first"), F.lit(False))
-    return rows.withColumns({"is_duplicate": duplicate, "duplicate_of": F.when(duplicate, F.col(f"first.{order[-1]}"))}).drop("first")
+    return rows.withColumns({"is_duplicate": duplicate, "duplicate_of": F.when(duplicate, F.col(f"first.{order[-1]}"))}).drop("first", "salt")
 
 
 RUN_KEY = ["resume_id", "job_id", "prompt_version_id", "scoring_version"]
