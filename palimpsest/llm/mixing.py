@@ -55,13 +55,18 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     return rates.withColumn("cdf", F.when(F.col("rate") > 0, F.slice(cdf, 2, 2**31 - 1)).otherwise(F.array(F.lit(1.0))))
 
 
+def _named(documents: DataFrame) -> list[str]:
+    """What tells rows apart: rows without an id by their texts."""
+    return ["doc_id", *(["text"] if "text" in documents.columns else [])]
+
+
 def with_rates(documents: DataFrame, table: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """documents beside their source's row of the table."""
     same = F.col("source").eqNullSafe(F.col("mix_source"))
     if (table.agg(F.sum(F.size("cdf") + 4)).first()[0] or 0) <= broadcast_numbers:
         return documents.join(F.broadcast(table), same)
     repeated = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = documents.withColumn("own_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = documents.withColumn("own_salt", F.pmod(F.xxhash64(*_named(documents)), F.lit(SALTS)).cast("int"))
     return salted.join(repeated.hint("merge"), same & (F.col("own_salt") == F.col("mix_salt"))).drop("own_salt", "mix_salt")
 
 
@@ -69,9 +74,9 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperatu
     """documents' rows, each as often as drawn, in random places and order, with rate, copies, copy_no (from 0) and mix_key (the order)."""
     documents = replace_columns(documents, ADDED)
     table = materialise(poisson_table(repetition_rates(documents, weights, temperature, total)).withColumnRenamed("source", "mix_source").drop("n"))
-    drawn = with_rates(documents, table).withColumn("u", uniform(seed, "doc_id", *(["text"] if "text" in documents.columns else [])))
+    drawn = with_rates(documents, table).withColumn("u", uniform(seed, *_named(documents)))
     drawn = drawn.withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf", "u", "mix_source")
     copied = drawn.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    copied = copied.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy_no"))
+    copied = copied.withColumn("mix_key", F.xxhash64(F.lit(seed), *_named(documents), "copy_no"))
     n = [partitions] if partitions else []
     return copied.repartition(*n, "mix_key").sortWithinPartitions("mix_key", "copy_no")

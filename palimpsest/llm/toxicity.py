@@ -15,6 +15,7 @@ not read; a null doc_id is never held out and never learnt from.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,12 +67,12 @@ def document_features(words: set[str]) -> set[str]:
     return {f for w in words for f in word_features(w)}
 
 
-def swapped(words: set[str], doc_id: int) -> set[str]:
-    """The words of the counterfactual twin."""
+def swapped(words: set[str]) -> set[str]:
+    """The words of the counterfactual twin; which term a text without one gains follows from its words."""
     found = words & SWAP.keys()
     if found:
         return (words - found) | {SWAP[w] for w in found}
-    return words | {TERMS[doc_id % len(TERMS)]}
+    return words | {TERMS[zlib.crc32(" ".join(sorted(words)).encode()) % len(TERMS)]}
 
 
 def labelled_sample(labels: DataFrame, rows_per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -96,10 +97,10 @@ def held_out(doc_id: str):
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, toxic = b.column("doc_id").to_pylist(), b.column("toxic").to_pylist()
+        toxic = b.column("toxic").to_pylist()
         words = [set(WORD.findall((t or "").lower())) for t in b.column("text").to_pylist()]
         # only what the twin adds or loses is sent along
-        twins = [swapped(w, d) for w, d in zip(words, ids)]
+        twins = [swapped(w) for w in words]
         yield pa.RecordBatch.from_arrays(
             [pa.array(toxic, pa.int32())]
             + [pa.array([" ".join(sorted(document_features(x))) for x in xs], pa.string()) for xs in (words, [a - t for a, t in zip(words, twins)], [t - a for a, t in zip(words, twins)])],

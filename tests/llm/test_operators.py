@@ -724,3 +724,24 @@ def test_toxicity_of_odd_rows(which, odd, none, clashing, spark):
         got = toxicity.score(df, model).collect()
         assert len(got) == df.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
         assert toxicity.reject_toxic(df, model).columns == df.columns
+
+
+def test_scores_do_not_know_ids(spark):
+    """The same texts under other ids, with the same labels, learn the same model and get the same scores."""
+    docs, labels = labelled(spark, 300)[:2]
+    # ids that leave the fold as it is: only rows outside it under both are labelled
+    moved = lambda c: F.col(c) * 1000 + 7
+    both = (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & (F.crc32(moved("doc_id").cast("string")) % 5 != 0)
+    known = labels.where(both)
+    one = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+    renamed = docs.withColumn("doc_id", moved("doc_id"))
+    other = {r.doc_id: r.score for r in toxicity.score(renamed, toxicity.fit(renamed, known.withColumn("doc_id", moved("doc_id")))).collect()}
+    assert {k * 1000 + 7 for k in one} == set(other)
+    assert all(abs(one[k] - other[k * 1000 + 7]) < 1e-6 for k in one)
+
+
+def test_mixture_of_rows_without_ids_is_spread(spark):
+    rows = [(None, f"text {k}", "en", "s", 1) for k in range(3000)]
+    for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame(rows, DOCS).withColumn("doc_id", F.lit(None).cast("long"))):
+        sizes = [r["count"] for r in mixing.mix(docs, total=3000.0, partitions=16).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
