@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .containment import LEAST, contained
 
 
 def usage_windows(runs: DataFrame, per_hour: int = 10, per_day: int = 50) -> DataFrame:
@@ -139,10 +140,10 @@ def extraction_quality(truth: DataFrame, said: DataFrame, least: float = 0.5) ->
     return out.withColumns({"precision": F.when(F.col("n_said") > 0, F.col("matched") / F.col("n_said")), "recall": F.when(F.col("n_truth") > 0, F.col("matched") / F.col("n_truth"))})
 
 
-def quote_leaks(templates: DataFrame, texts: DataFrame, least: int = 40) -> DataFrame:
-    """Templates (template_id, body) that hold a line of the corpus.  Found by equality of whole lines, so it is a hash join."""
-    lines = lambda df, c, *keys: df.select(*keys, F.explode(F.split(c, "\n")).alias("line")).withColumn("line", tx.collapse(F.col("line"))).where(F.char_length("line") >= least)
-    return lines(templates, "body", "template_id").join(lines(texts, "text", "doc_id"), "line").groupBy("template_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.min("doc_id").alias("first_doc"))
+def quote_leaks(templates: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """Quotes (template_id, body) that texts (doc_id, text) contain anywhere: template_id, n_documents, first_doc."""
+    found = contained(templates, texts, "body", least=least)
+    return templates.select("template_id", tx.collapse(F.col("body")).alias("quote")).join(found, "quote").select("template_id", "n_documents", "first_doc")
 
 
 def stale_runs(runs: DataFrame, current: DataFrame) -> DataFrame:

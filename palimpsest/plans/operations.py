@@ -334,13 +334,11 @@ def claim_details(t):
     return out.select("run_id", "requirement_id", "kind", "necessity", "criticality", "met", "match_type", "corroboration", "contribution", "primary_page", F.array_join(F.col("bbox").cast("array<string>"), "/").alias("bbox"))
 
 
-LINES_OF = "select doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) as line from documents"
-
-
-@query(sql("select t.doc_id as template_id, count(distinct d.doc_id) as n_documents, min(d.doc_id) as first_doc from lines_of t join lines_of d on t.line = d.line where t.doc_id % 10 = 0 and d.doc_id % 10 <> 0 and length(t.line) >= 40 group by t.doc_id", lines_of=LINES_OF))
+@query(sql("""select item_id as template_id, count(distinct doc_id) as n_documents, min(doc_id) as first_doc from (select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as quote from benchmark) b
+    join (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as whole from documents) d on contains(whole, quote) where length(quote) >= 40 group by item_id"""))
 def quote_leaks(t):
-    docs = t.read("documents")
-    return metrics.quote_leaks(docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("template_id"), F.col("text").alias("body")), docs.where("doc_id % 10 <> 0").select("doc_id", "text"))
+    """Benchmark items that documents contain, all against all."""
+    return metrics.quote_leaks(t.read("benchmark").select(F.col("item_id").alias("template_id"), F.col("text").alias("body")), t.read("documents"))
 
 
 @query(sql("select metric, before, after, after - before as change, coalesce(after - before < -0.02, true) as regressed from (select event_type as metric, (count(*) filter (event_id % 2 = 0))::double as before, (count(*) filter (event_id % 2 = 1))::double as after from events group by event_type)"))
