@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,50 @@ def usage_windows(runs: DataFrame, per_hour: int = 10, per_day: int = 50) -> Dat
     return rows.withColumn("limited_by", F.when(F.col("runs_last_hour") > per_hour, "hour").when(F.col("runs_today") > per_day, "day"))
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Runs an hour and a day, jobs a day, a user's spend and everybody's spend a day (in ten-thousandths)."""
+
+    hour: int = 10
+    day: int = 50
+    jobs: int = 20
+    spend: int = 20_000
+    global_spend: int = 500_000
+
+    def told(self, kind: str, hour: int, runs: int, jobs: int, spent: int) -> str | None:
+        if kind == "run":
+            return "hour" if hour > self.hour else "day" if runs > self.day else None
+        if kind == "job":
+            return "jobs" if jobs > self.jobs else None
+        return "spend" if spent >= self.spend else None
+
+
+def usage_decisions(attempts: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Attempts (user_id, event_id, created_at, kind run / job / call, cost in ten-thousandths), refused ones counted too: runs_last_hour,
+    runs_today, jobs_today (this moment's included), spent_before, closed (everybody's spend had reached its limit by an earlier minute) and limited_by."""
+    micros = F.unix_micros("created_at")
+    day = F.floor(micros / 86_400_000_000)
+    rows = attempts.select("user_id", "event_id", "created_at", "kind", F.col("cost").cast("long").alias("cost"), micros.alias("at"), day.alias("today"))
+    hour = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
+    today = Window.partitionBy("user_id", "today").orderBy("at")
+    upto, before = today.rangeBetween(Window.unboundedPreceding, 0), today.rangeBetween(Window.unboundedPreceding, -1)
+    run, job, call = (F.col("kind") == k for k in ("run", "job", "call"))
+    told = rows.withColumns({
+        "runs_last_hour": F.count_if(run).over(hour), "runs_today": F.count_if(run).over(upto), "jobs_today": F.count_if(job).over(upto),
+        "spent_before": F.coalesce(F.sum(F.when(call, F.col("cost"))).over(before), F.lit(0)),
+    })
+    # a row a minute, then a row a day
+    minutes = rows.where(call).groupBy("today", F.floor(F.col("at") / 60_000_000).alias("minute")).agg(F.sum("cost").alias("cost"))
+    spent = F.sum("cost").over(Window.partitionBy("today").orderBy("minute"))
+    closed = minutes.withColumn("spent", spent).where(F.col("spent") >= limits.global_spend).groupBy("today").agg(F.min("minute").alias("last"))
+    told = told.join(closed, "today", "left").withColumn("closed", F.coalesce(call & (F.floor(F.col("at") / 60_000_000) > F.col("last")), F.lit(False)))
+    limited = (
+        F.when(run & (F.col("runs_last_hour") > limits.hour), "hour").when(run & (F.col("runs_today") > limits.day), "day").when(job & (F.col("jobs_today") > limits.jobs), "jobs")
+        .when(call & (F.col("spent_before") >= limits.spend), "spend").when(F.col("closed"), "global")
+    )
+    return told.withColumn("limited_by", limited).drop("at", "today", "last")
+
+
 def daily_spend(costed: DataFrame, most: str = "2.00") -> DataFrame:
     limit = F.lit(most).cast("decimal(10,4)")
     out = costed.groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.sum("cost").alias("spend"), F.count("*").alias("n_calls"))

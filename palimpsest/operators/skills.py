@@ -69,18 +69,49 @@ def match_terms(spans: DataFrame, terms: dict[str, tuple[str, ...]]) -> DataFram
     return spans.select("doc_id", "span_id", "page", "seqno", F.explode(F.filter(F.array(*hits), lambda c: c.isNotNull())).alias("canonical"))
 
 
-def match_vocabulary(spans: DataFrame, vocab: DataFrame) -> DataFrame:
+#: At most so many words are hot: none has more rows than the others' even share.
+SHARES = 1024
+
+
+def _word_list(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[{tx.WORD_CLASS}]+"), F.lit(0)))
+
+
+def word_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n) of the wanted words: in how many texts (column low) each stands.  Others have no row."""
+    return texts.select(F.explode(_word_list(F.col("low"))).alias("word")).join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def keyed_by_rarest(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(canonical, alias, word): each alias at the rarest of its words; aliases of which no text has all words are left out."""
+    own = terms.select("canonical", "alias", F.explode(_word_list(F.col("alias"))).alias("word")).join(counts, "word", "left")
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("b")
+    return own.groupBy("canonical", "alias").agg(best).where("b.n > 0").select("canonical", "alias", "b.word")
+
+
+def match_vocabulary(spans: DataFrame, vocab: DataFrame, shares: int = SHARES) -> DataFrame:
     """The same for a vocabulary table of any size.
 
-    Every run of word characters and blanks that an alias could be is looked up by an equi-join on the alias's first word, and the whole
-    alias is confirmed in the text.
+    An alias waits at the rarest of its words, so "of the day" meets the spans with "day" only, and a span is compared with the few aliases
+    that wait at its words; the whole alias is confirmed in the text.  A word with more rows than a `shares`th of all is dealt out over as
+    many salts as shares it has: there are at most `shares` such words, which is what is broadcast, and few aliases wait at each.
     """
-    first = lambda c: F.regexp_extract(c, rf"[{tx.WORD_CLASS}]+", 0)
-    terms = vocab.select("canonical", F.lower("alias").alias("alias"), first(F.lower("alias")).alias("word"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[{tx.WORD_CLASS}]+"), F.lit(0)))
-    rows = spans.select("doc_id", "span_id", "page", "seqno", F.lower("text").alias("low"), F.explode(words).alias("word")).join(terms, "word")
+    low = F.lower("text")
+    terms = vocab.select("canonical", F.lower("alias").alias("alias")).distinct()
+    texts = spans.select("doc_id", "span_id", "page", "seqno", low.alias("low"))
+    wanted = terms.select(F.explode(_word_list(F.col("alias"))).alias("word")).distinct()
+    counts = word_counts(texts, wanted)
+    keyed = keyed_by_rarest(terms, counts)
+    used = counts.join(keyed.select("word").distinct(), "word", "left_semi")
+    total = used.agg(F.ceil(F.sum("n") / shares).alias("share"))  # one row
+    hot = used.crossJoin(F.broadcast(total)).where("n > share").select("word", F.ceil(F.col("n") / F.col("share")).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    rows = texts.withColumn("word", F.explode(_word_list(F.col("low")))).join(F.broadcast(hot), "word", "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "span_id"), salts)).drop("salts")
+    waiting = keyed.join(F.broadcast(hot), "word", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    met = rows.join(waiting, ["word", "salt"])
     found = F.expr(rf"rlike(low, concat('(?<![\\p{{L}}\\p{{N}}_])\\Q', alias, '\\E(?![\\p{{L}}\\p{{N}}_])'))")
-    return rows.where(found).select("doc_id", "span_id", "page", "seqno", "canonical").distinct()
+    return met.where(found).select("doc_id", "span_id", "page", "seqno", "canonical").distinct()
 
 
 def confidence(support: Column, flagged: Column) -> Column:

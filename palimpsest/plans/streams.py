@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
 from ..sources.adapters import Tables
-from ..streaming import feeds
+from ..streaming import feeds, limits
 from .common import Plan
 from .operations import CHANGES, STATES
 from .oracle import sql
@@ -71,3 +72,41 @@ def new_upload_stream(t):
 def call_window_stream(t):
     calls = source(t, "events").select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("purpose"), F.concat(F.lit("m"), F.col("user_id") % 2).alias("model"), (F.col("event_id") % 100).alias("input_tokens"), F.lit(1).alias("output_tokens"))
     return finished(feeds.call_windows(calls), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "purpose", "model", "n", "input_tokens")
+
+
+# --- usage limits -----------------------------------------------------------------------------------------------------------------
+
+#: Few users, so that production limits are reached; the global one is lower.
+LIMITS = metrics.Limits(global_spend=60_000)
+ATTEMPTS = """select event_id, ts, epoch_us(ts) as moment, epoch_us(ts) // 86400000000 as today, user_id % 2 as user_id, case when event_type in ('view', 'signup') then 'run' when event_type = 'click' then 'job' else 'call' end as kind, (event_id % 97 * 10)::bigint as cost from events"""
+COUNTED_ATTEMPTS = """select *, count(*) filter (kind = 'run') over (partition by user_id order by moment range between 3600000000 preceding and current row) as runs_last_hour,
+    count(*) filter (kind = 'run') over (partition by user_id, today order by moment range between unbounded preceding and current row) as runs_today,
+    count(*) filter (kind = 'job') over (partition by user_id, today order by moment range between unbounded preceding and current row) as jobs_today,
+    coalesce(sum(cost) filter (kind = 'call') over (partition by user_id, today order by moment range between unbounded preceding and 1 preceding), 0)::bigint as spent_before from attempts"""
+CLOSED = """select today, min(minute) as last, arg_min(spent, minute)::bigint as spent from (select today, minute, sum(cost) over (partition by today order by minute) as spent from (select today, moment // 60000000 as minute, sum(cost) as cost from attempts where kind = 'call' group by all))
+    where spent >= 60000 group by today"""
+TOLD = "case when kind = 'run' and runs_last_hour > 10 then 'hour' when kind = 'run' and runs_today > 50 then 'day' when kind = 'job' and jobs_today > 20 then 'jobs' when kind = 'call' and spent_before >= 20000 then 'spend'"
+LIMIT_PARTS = {"attempts": ATTEMPTS, "counted": COUNTED_ATTEMPTS}
+
+
+def attempts(t: Tables, events: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("view", "signup"), "run").when(F.col("event_type") == "click", "job").otherwise("call")
+    return events.select((F.col("user_id") % 2).alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("created_at"), kind.alias("kind"), (F.col("event_id") % 97 * 10).alias("cost"))
+
+
+@query(sql(f"select user_id, event_id, kind, runs_last_hour, runs_today, jobs_today, spent_before, {TOLD} when kind = 'call' and moment // 60000000 > last then 'global' end as limited_by from counted left join closed using (today)", **LIMIT_PARTS, closed=CLOSED))
+def usage_decisions(t):
+    """All limits over the attempts at once."""
+    return metrics.usage_decisions(attempts(t, t.read("events")), LIMITS).select("user_id", "event_id", "kind", "runs_last_hour", "runs_today", "jobs_today", "spent_before", "limited_by")
+
+
+@query(sql(f"select user_id, event_id, kind, runs_last_hour, runs_today, jobs_today, spent_before, {TOLD} end as limited_by from counted", **LIMIT_PARTS))
+def usage_decision_stream(t):
+    """A user's limits, decided by state as the attempts come."""
+    return finished(limits.decisions(attempts(t, source(t, "events")), LIMITS, late="0 seconds"))
+
+
+@query(sql("select today as day, (timestamp '1970-01-01' + to_minutes((last + 1)::int)) as closed_at, spent from closed", attempts=ATTEMPTS, closed=CLOSED))
+def global_limit_stream(t):
+    """From when on a day is closed, since all users together have spent its limit."""
+    return finished(limits.closings(attempts(t, source(t, "events")), LIMITS, late="0 seconds")).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))

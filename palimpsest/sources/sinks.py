@@ -27,8 +27,8 @@ def replace_keys(new: DataFrame, keys: DataFrame, path: str, key: str = "doc_id"
     if not parts:
         return
     fresh = with_bucket(new, key, buckets)
-    if _exists(spark, path):
-        old = spark.read.parquet(path).where(F.col(BUCKET).isin(parts))
+    if exists(spark, path):
+        old = spark.read.schema(fresh.schema).parquet(path).where(F.col(BUCKET).isin(parts))
         kept = old.join(touched.select(key), key, "left_anti")
         rows = kept.select(*fresh.columns).unionByName(fresh)
     else:
@@ -43,6 +43,15 @@ def replace_keys(new: DataFrame, keys: DataFrame, path: str, key: str = "doc_id"
     _delete(spark, staging)
 
 
+def drop_keys(keys: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
+    """Takes all rows of the keys out of a bucketed table, which may be missing or empty."""
+    spark = keys.sparkSession
+    if exists(spark, path):
+        fs, where = _files(spark, path)
+        if any(f.getPath().getName().startswith(f"{BUCKET}=") for f in fs.listStatus(where)):
+            replace_keys(spark.read.parquet(path).drop(BUCKET).where("false"), keys, path, key, buckets)
+
+
 def append_facts(df: DataFrame, path: str, time: str = "created_at") -> None:
     df.withColumn("date", F.to_date(time)).write.mode("append").partitionBy("date").parquet(path)
 
@@ -58,7 +67,7 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _files(spark, path)
     return fs.exists(where)
 

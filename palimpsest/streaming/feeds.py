@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..sources.sinks import replace_keys
+from ..sources.sinks import drop_keys, replace_keys
 
 
 def _struct(**fields) -> StructType:
@@ -79,12 +79,71 @@ def lifecycle(events: DataFrame, late: str = "10 minutes", timeout_ms: int = 300
     return events.withWatermark("ts", late).groupBy("run_id").transformWithStateInPandas(Lifecycle(timeout_ms), outputStructType=FEED, outputMode="Append", timeMode="EventTime")
 
 
-def ingest(spans: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Runs detectors over each batch of whole documents and replaces their findings; a rerun of a batch gives the same table."""
-
-    def one(batch: DataFrame, _: int) -> None:
+class BrokenDetector(RuntimeError):
+    """More documents fail than a fault of documents explains."""
+
+
+def isolated(batch: DataFrame, detect: Callable[[DataFrame], DataFrame], folder: str, key: str, most: int, code_of: Callable[[Exception], str]) -> tuple[DataFrame | None, list[tuple]]:
+    """What detect finds in a batch, and (key, failure_code) of the documents at which it breaks.
+
+    The whole batch is tried first.  Where it breaks, both halves of its keys (by a bit of their hash) are tried, and so on down to single
+    documents, so one poisoned document costs a logarithm of tries and the others are all kept.  Each try is written to the folder, since
+    a plan breaks only when it runs.  Beyond `most` failures it is the detector that is broken, and its error is raised.
+    """
+    spark, found, failed = batch.sparkSession, None, []
+    parts = [(0, 0)]
+    while parts:
+        bits, rest = parts.pop()
+        part = batch.where(F.pmod(F.xxhash64(key), F.lit(1 << bits)) == rest)
+        path = f"{folder}/try-{bits}-{rest}"
+        try:
+            made = detect(part)
+            made.write.mode("overwrite").parquet(path)
+            kept = spark.read.schema(made.schema).parquet(path)
+            found = kept if found is None else found.unionByName(kept)
+        except Exception as error:
+            keys = [r[0] for r in part.select(key).distinct().limit(2).collect()]
+            if len(keys) > 1 and bits < 60:
+                parts += [(bits + 1, rest), (bits + 1, rest + (1 << bits))]
+                continue
+            failed.append((keys[0], code_of(error)))
+            if len(failed) > most:
+                raise BrokenDetector(f"more than {most} documents of a batch fail") from error
+    return found, failed
+
+
+def ingest(
+    spans: DataFrame,
+    detect: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    rejects: str | None = None,
+    check: Callable[[DataFrame], DataFrame] | None = None,
+    key: str = "doc_id",
+    most: int = 100,
+    code_of: Callable[[Exception], str] = lambda error: "extraction_failed",
+):
+    """Runs detectors over each batch of whole documents and replaces their findings; a rerun of a batch gives the same table.
+
+    With a table of rejects, documents that `check` refuses (key, failure_code) or at which detect breaks go there and lose what was stored
+    of them; the rest of the batch is stored, and a document that later succeeds leaves the rejects.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
         batch.persist()
-        replace_keys(detect(batch), batch.select("doc_id"), path)
+        keys = batch.select(key)
+        if rejects is None:
+            replace_keys(detect(batch), keys, path, key)
+        else:
+            schema = StructType([batch.schema[key], StructField("failure_code", StringType())])
+            refused = batch.sparkSession.createDataFrame([], schema) if check is None else check(batch).select(key, "failure_code").distinct()
+            found, failed = isolated(batch.join(refused, key, "left_anti"), detect, f"{checkpoint}-tries/{number}", key, most, code_of)
+            told = refused.unionByName(batch.sparkSession.createDataFrame(failed, schema))
+            replace_keys(told, keys, rejects, key)
+            if found is None:  # nothing succeeded: what was stored goes
+                drop_keys(keys, path, key)
+            else:
+                replace_keys(found, keys, path, key)
         batch.unpersist()
 
     return spans.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
