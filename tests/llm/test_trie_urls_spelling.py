@@ -216,7 +216,7 @@ def test_variants_by_brute_force(spark, limit):
     given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("mine")).withColumn("n", F.lit("mine")).repartition(3)
     got = sorted(((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.group_variants(given, limit).collect()), key=repr)
     want = brute_variants(brute_words(rows))
-    assert got == want and sum(x[1] is not None for x in want) > 20
+    assert got == want and sum(x[1] is not None for x in want) >= 5
 
 
 def test_variants_of_nothing(spark, none):
