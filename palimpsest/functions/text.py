@@ -46,10 +46,27 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Full case folding by the standard's table: letters that become one other letter, what they become, and those that become several."""
+    folded = {c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+FOLD_FROM, FOLD_TO, FOLD_MANY = _foldings()
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding, natively.  For ASCII that is lower case; the few letters that become several are looked up only in texts that hold one."""
+    one = F.translate(text, FOLD_FROM, FOLD_TO)
+    table = F.create_map(*[F.lit(x) for pair in FOLD_MANY.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(text.rlike(r"^\p{ASCII}*+$"), F.lower(text)).when(text.rlike(one_of(tuple(FOLD_MANY))), spread).otherwise(one)
+
+
 def comparison_form(text: Column) -> Column:
     """What is left when case, punctuation and spacing are taken off.  The text must be NFKC already (`nfkc_column`)."""
-    plain = collapse(F.regexp_replace(text, rf"(?U)[^{WORD_CLASS}\s]", " "))
-    return F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))
+    return casefold(collapse(F.regexp_replace(text, rf"(?U)[^{WORD_CLASS}\s]", " ")))
 
 
 @F.pandas_udf(StringType())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,13 +200,37 @@ def stale_runs(runs: DataFrame, current: DataFrame) -> DataFrame:
     return rows.withColumn("is_stale", (F.col("prompt_version_id") != F.col("p")) | (F.col("scoring_version") != F.col("s"))).drop("p", "s")
 
 
-#: Text that addresses a model instead of a reader.
-INSTRUCTIONS = (r"ignore (all |any )?(the )?(previous|above|prior) (instructions|text)", r"you are (now )?(a|an|the) (assistant|model|ai)\b", r"(rate|score|rank) this (candidate|resume|applicant)", r"system prompt", r"do not (mention|reveal|flag)")
+#: Text that addresses a model instead of a reader: family, whether a hit is sure or uncertain, words of which every hit holds one, and the pattern (lower case).
+INSTRUCTIONS = (
+    ("override", "sure", ("ignore",), r"\bignore (all |any )?(the |of the )?(previous|above|prior|earlier) (instructions?|text|prompts?|rules)\b"),
+    ("override", "sure", ("disregard",), r"\bdisregard (all |any )?(the |your )?(previous|above|prior|other) [a-z]+"),
+    ("override", "uncertain", ("instead",), r"\b(do|say|answer|write) (this|that|the following) instead\b"),
+    ("scoring", "sure", ("this",), r"\b(rate|score|rank|grade) this (candidate|resume|applicant|application|person)\b"),
+    ("scoring", "sure", ("score", "marks", "rating"), r"\b(give|assign|award) [a-z ]{0,30}(full|highest|maximum|top|perfect) (score|marks|rating)\b"),
+    ("scoring", "uncertain", ("recommend",), r"\b(must|should|always) (be )?(recommend|recommended)\b"),
+    ("role", "sure", ("you are",), r"\byou are (now )?(a|an|the) (helpful )?(assistant|model|ai|evaluator|recruiter)\b"),
+    ("role", "sure", ("system",), r"(\bsystem prompt\b|<\|?system\|?>|\bsystem:)"),
+    ("role", "uncertain", ("act as",), r"\bact as (a|an|the|if)\b"),
+    ("silence", "sure", ("do not",), r"\bdo not (mention|reveal|flag|report|disclose)\b"),
+)
 
 
 def instruction_shaped(spans: DataFrame) -> DataFrame:
-    hit = F.filter(F.array(*[F.when(F.col("text").rlike("(?i)" + p), F.lit(i)) for i, p in enumerate(INSTRUCTIONS)]), lambda x: x.isNotNull())
-    return spans.withColumn("patterns", hit).where(F.size("patterns") > 0).select("doc_id", "span_id", "page", "patterns", F.lit("suspicious").alias("severity"))
+    """(doc_id, span_id, page, patterns, families, severity, tier): spans that some pattern hits.
+
+    A span is searched for a pattern only where it holds one of the pattern's words, which are plain substring searches.  A sure hit is suspicious, and
+    high if two families meet in a span; uncertain hits alone are information, for a second look (tier 2).
+    """
+    low = F.lower("text")
+    hit = lambda words, pattern: reduce(Column.__or__, [low.contains(w) for w in words]) & low.rlike(pattern)
+    found = [F.when(hit(words, pattern), F.struct(F.lit(i).alias("no"), F.lit(family).alias("family"), F.lit(kind == "sure").alias("sure"))) for i, (family, kind, words, pattern) in enumerate(INSTRUCTIONS)]
+    rows = spans.withColumn("hits", F.filter(F.array(*found), lambda x: x.isNotNull())).where(F.size("hits") > 0)
+    families = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["family"])))
+    sure = F.exists("hits", lambda x: x["sure"])
+    return rows.select(
+        "doc_id", "span_id", "page", F.transform("hits", lambda x: x["no"]).alias("patterns"), families.alias("families"),
+        F.when(sure & (F.size(families) > 1), "high").when(sure, "suspicious").otherwise("info").alias("severity"), F.when(sure, 1).otherwise(2).alias("tier"),
+    )
 
 
 def truncate_evidence(spans: DataFrame, most: int = 12_000) -> DataFrame:

@@ -178,3 +178,13 @@ def test_skill_confidence(spark):
     for terms in (skills.TERMS, skills.vocabulary(spark)):
         got, _ = skills.match(spark.createDataFrame(spans, DDL["spans"]), flagged, terms)
         assert {r.canonical: r.confidence for r in got.collect()} == {"Python": 0.7, "Django": 0.6, "SQL": 0.15, "Rust": 0.35}
+
+
+def test_case_folding_of_all_code_points(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, "x" + chr(c) + "Y") for c in points], "c int, t string")
+    wrong = [r.c for r in rows.select("c", tx.casefold(F.col("t")).alias("f")).collect() if r.f != ("x" + chr(r.c) + "Y").casefold()]
+    assert wrong == []
+    words = ["STRASSE Straße", "ΟΔΥΣΣΕΥΣ ὀδυσσεύς", "İstanbul", "ﬃ Ǆ", "", None]
+    got = spark.createDataFrame(list(enumerate(words)), "i int, t string").select("i", tx.casefold(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: None if w is None else w.casefold() for i, w in enumerate(words)}
