@@ -35,6 +35,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what `materialise` has written, once nothing is to be worked out from it again."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return batch.column(name).cast(pa.binary()).to_pylist()
