@@ -30,8 +30,10 @@ def clean_gain() -> Column:
 
 
 def with_totals(scored: DataFrame) -> DataFrame:
-    totals = summarize(scored).select("run_id", "total_weight", "total_contribution", F.col("score").alias("base_score"))
-    return scored.join(totals, "run_id")
+    """Rows beside their run's sums, from one exchange by run."""
+    run = Window.partitionBy("run_id")
+    rows = scored.withColumns({"total_weight": F.sum("weight").over(run), "total_contribution": F.sum("contribution").over(run)})
+    return rows.withColumn("base_score", rounded_score(F.col("total_contribution"), F.col("total_weight")))
 
 
 def items(scored: DataFrame) -> DataFrame:

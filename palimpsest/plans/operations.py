@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.decimals import milli
 from ..functions.geometry import hex_colour
 from ..operators import claims, costs, dedup, gaps, gates, metrics, packets, scoring, skills, views
@@ -292,13 +294,15 @@ def split_assignment(t):
     return metrics.assign_split(t.read("documents").select("doc_id"), "doc_id")
 
 
-@query(sql("select span_id || '?' as locator_id, span_id, (seqno - seqno)::int as occurrence from (select *, row_number() over (partition by doc_id, page, n order by seqno) as k from (select *, replace(lower(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))), 'ß', 'ss') as n from spans)) where k = 1 and span_no % 3 = 0", "spans"))
+@query(sql("select span_id || '?' as locator_id, span_id, (k - 1)::int as occurrence from (select *, row_number() over (partition by doc_id, page, n order by seqno) as k from (select *, replace(lower(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))), 'ß', 'ss') as n from spans))", "spans"))
 def locator_resolution(t):
+    """Every span by its quote in capitals, and which of the page's equal quotes it is."""
     spans = t.spans()
-    asked = spans.where("span_no % 3 = 0").select(F.concat("span_id", F.lit("?")).alias("locator_id"), "doc_id", "page", F.upper("text").alias("quote"), F.lit(0).alias("occurrence"))
+    along = Window.partitionBy("doc_id", "page", "norm").orderBy("seqno")
+    told = spans.withColumn("norm", tx.comparison_form(F.col("text"))).withColumn("occurrence", F.row_number().over(along) - 1)
+    asked = told.select(F.concat("span_id", F.lit("?")).alias("locator_id"), "doc_id", "page", F.upper("text").alias("quote"), "occurrence")
     found, _ = metrics.resolve_locators(asked, spans)
-    # the same quote twice on a page resolves to its first place from either
-    return found.where(F.concat("span_id", F.lit("?")) == F.col("locator_id")).select("locator_id", "span_id", "occurrence")
+    return found.select("locator_id", "span_id", "occurrence")
 
 
 @query(sql("select span_id, tokens_so_far, tokens_so_far <= 300 as kept from (select span_id, (sum(greatest((length(text) + 3) // 4, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))) over (partition by doc_id order by page, seqno rows between unbounded preceding and current row))::bigint as tokens_so_far from spans)", "spans"))

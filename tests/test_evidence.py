@@ -76,9 +76,10 @@ def test_coercion(spark):
 
 
 def test_provenance(spark):
-    text = "Requirements:\n- 5+ years Kubernetes\n- Go programming."
+    text = "Wanted for the night shift:\n* has kept Kubernetes clusters alive\n* reads Go with ease"
+    at = lambda quote: (text.index(quote), text.index(quote) + len(quote), quote)
     jobs = spark.createDataFrame([(1, text)], "job_id long, normalized_text string")
-    rows = [(1, 0, " k8s ", "hard_skill", "required", 3, 16, 35, text[16:35]), (1, 1, "x", "hard_skill", "required", 9, 0, 12, "something"), (1, 2, "go", " Hard_Skill", "PREFERRED", 0, 38, 52, text[38:52]), (1, 3, "y", "hard_skill", "required", 1, 50, 99, "z")]
+    rows = [(1, 0, " k8s ", "hard_skill", "required", 3, *at("Kubernetes clusters")), (1, 1, "x", "hard_skill", "required", 9, 0, 12, "something"), (1, 2, "go", " Hard_Skill", "PREFERRED", 0, *at("reads Go")), (1, 3, "y", "hard_skill", "required", 1, 50, 999, "z")]
     good, bad = requirements.validate(spark.createDataFrame(rows, DDL["extracted"]), jobs)
     # the weight of a preferred requirement of criticality 1 is 0.4
     assert [(r.ordinal, r.text, r.weight) for r in good.orderBy("ordinal").collect()] == [(1, "k8s", D("3.0000")), (2, "go", D("0.4000"))]
