@@ -6,7 +6,9 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: ASCII white space: what separates words in every operator here.
 SPACE_BYTES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -49,6 +51,12 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def known_id(documents: DataFrame) -> Column:
+    """doc_id, numbers or strings, with a value of its type instead of null: joins as a key beside a flag for the null."""
+    kind = documents.schema["doc_id"].dataType
+    return F.coalesce(F.col("doc_id"), F.lit("" if isinstance(kind, StringType) else 0).cast(kind))
+
+
 def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Drops the columns that an operator is about to add: an input column with an output's name is replaced."""
     lowered = {n.lower() for n in names}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_texts
+from .common import known_id, materialise, raw_texts
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 FANOUT = 8
@@ -261,18 +261,18 @@ def keep_one_of_each(documents: DataFrame, limit: int = MAX_BITS, width: int = S
     found = near_duplicates(documents, limit, width)
     # a component without any id is named by nothing, so its fingerprint stands in
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    kept = found.groupBy(group.alias("g")).agg(F.min(F.struct(*row_key(F.col("text_key")))).alias("k")).select("k.*")
+    kept = found.groupBy(group.alias("g")).agg(F.min(F.struct(*row_key(found, F.col("text_key")))).alias("k")).select("k.*")
     return rows_of(documents, kept).select(*documents.columns)
 
 
-def row_key(key) -> list:
+def row_key(rows: DataFrame, key) -> list:
     """What names a row and orders rows of a component: those without an id come last."""
-    return [F.col("doc_id").isNull().alias("kept_nameless"), F.coalesce("doc_id", F.lit(0)).alias("kept_id"), key.alias("kept_key")]
+    return [F.col("doc_id").isNull().alias("kept_nameless"), known_id(rows).alias("kept_id"), key.alias("kept_key")]
 
 
 def rows_of(documents: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of the documents for each that `kept` names by row_key, with the columns of both."""
-    own = [F.col("doc_id").isNull().alias("own_nameless"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), text_key().alias("own_key")]
+    own = [F.col("doc_id").isNull().alias("own_nameless"), known_id(documents).alias("own_id"), text_key().alias("own_key")]
     stay = documents.select("*", *own).join(materialise(kept), [F.col("own_nameless") == F.col("kept_nameless"), F.col("own_id") == F.col("kept_id"), F.col("own_key") == F.col("kept_key")])
     # the same row may be there several times over; the join has already brought them together
     copy = F.row_number().over(Window.partitionBy("own_nameless", "own_id", "own_key").orderBy("own_key"))

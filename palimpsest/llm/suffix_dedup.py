@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_texts
+from .common import known_id, materialise, raw_texts
 
 GRAM = 16
 
@@ -191,7 +191,7 @@ def removal(text: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[i
 
 def _by_row(df: DataFrame) -> list[Column]:
     """A key of a row of documents that joins nulls too."""
-    return [F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key")]
+    return [F.col("doc_id").isNull().alias("nameless"), known_id(df).alias("id"), F.col("text_key")]
 
 
 KEY = ["nameless", "id", "text_key"]

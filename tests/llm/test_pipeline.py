@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from palimpsest.llm import queries
+from palimpsest.llm import near_copies, queries
 
 from .conftest import DOCS, words
 
@@ -73,3 +76,42 @@ def test_near_duplicate_stage_on_odd_rows(spark, odd, none, clashing):
     # 1, 2, 11 and the row without an id are near copies of 0; 3 (null), 4 and 5 have no words; another text has the id 3
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 3, 6, 7, 8, 9, 10, 12]
     assert stage(spark, none, "").count() == 0 and stage(spark, clashing, "").columns == clashing.columns
+
+
+def test_parities_bound_the_symmetric_difference():
+    """By brute force over random sets that share from none to all of their hashes, of all lengths."""
+    rng = np.random.default_rng(8)
+    told = 0
+    for size in (0, 1, 5, 60, 400, 3000):
+        for share in (0.0, 0.3, 0.6, 0.8, 0.9, 1.0):
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)
+            keep = int(size * share)
+            b = np.concatenate([a[:keep], rng.integers(0, 2**63, size - keep, dtype=np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            bits = [near_copies.parities(x).view(np.uint64) for x in (a, b)]
+            differing = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert differing <= len(np.setxor1d(a, b))
+            told += 9 * differing > len(a) + len(b)
+    assert told >= 9  # most pairs of shares under 0.8 are told apart
+
+
+def test_sets_that_may_be_similar(spark):
+    """The bound as a column keeps every similar pair of edited texts and leaves out unlike ones."""
+    rng = random.Random(14)
+    base = words(rng, 300).split()
+    texts = [" ".join(words(rng, 1) if rng.random() < rate else w for w in base) for rate in (0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.2, 0.5, 1) for _ in range(6)]
+    own = [near_copies.shingle_set(near_copies.shingle_hashes(t.encode(), 5)) for t in texts]
+    rows = spark.createDataFrame([(i, len(s), near_copies.parities(s).tolist()) for i, s in enumerate(own)], "i int, size int, odd array<long>")
+    other = rows.select(F.col("i").alias("j"), F.struct("size", "odd").alias("head"))
+    maybe = {(r.i, r.j) for r in rows.join(other, F.col("i") < F.col("j")).where(near_copies._may_be_similar("head.size", "head.odd")).select("i", "j").collect()}
+    close = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if near_copies.similar(own[i], own[j])}
+    assert close and close <= maybe and len(maybe) < 3 * len(close)
+
+
+def test_near_duplicate_stage_with_string_ids(spark, odd):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    named = odd.withColumn("doc_id", F.format_string("d%02d", "doc_id")).withColumn("doc_id", F.when(F.col("doc_id") != "dnull", F.col("doc_id")))
+    kept = [r.doc_id for r in stage(spark, named, "").collect()]
+    assert sorted(kept) == [f"d{k:02}" for k in (0, 3, 3, 6, 7, 8, 9, 10, 12)]
+    nameless = stage(spark, odd.withColumn("doc_id", F.lit(None).cast("long")), "").collect()
+    assert len(nameless) == 9 and all(r.doc_id is None for r in nameless)
