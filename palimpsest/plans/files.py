@@ -74,10 +74,14 @@ def payload_files(t):
     return asked.select("requirement_id", "text", "criticality")
 
 
-@query()
+@query(sql("select n_name as name, octet_length(encode(body))::bigint as byte_size, sha256(body) as sha256 from (select n_name, string_agg(c_custkey || ' ' || c_name, chr(10) order by c_custkey) || chr(10) as body from customer join nation on n_nationkey = c_nationkey group by n_name)"))
 def upload_files(t):
-    """Size and digest of the files of a table."""
-    return payload.uploads(t.spark, f"{t.sf_dir}/documents.parquet")
+    """A list of customers for each nation, written as an upload, and the size and digest of each as stored."""
+    path = f"{scratch(t.spark)}/uploads"
+    rows = t.read("customer").join(F.broadcast(t.read("nation")), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations
+    lines = rows.repartition("n_name").sortWithinPartitions("n_name", "c_custkey").select("n_name", F.concat_ws(" ", "c_custkey", "c_name").alias("value"))
+    lines.write.partitionBy("n_name").text(path)
+    return payload.uploads(t.spark, path).select(F.regexp_extract("path", "n_name=([^/]+)/", 1).alias("name"), "byte_size", "sha256")
 
 
 @query(sql("select time_bucket(interval 1 minute, ts) + to_minutes(k::int) as \"end\", user_id, count(*) as n from (select *, unnest(range(1, 61)) as k from events) group by all"))
