@@ -310,6 +310,18 @@ def test_simhash_of_odd_rows(which, odd, none, clashing, odd_rows):
     assert kept.columns == df.columns and kept.count() == len(set(brute_components(fps, ids)))
 
 
+def named(odd):
+    """The odd table with strings for ids, which sort as the numbers do; null stays null."""
+    return odd.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("d%02d", "doc_id")))
+
+
+def test_simhash_with_string_ids(odd, odd_rows):
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(named(odd)).collect())
+    fps, ids = [brute_fingerprint(r[1]) for r in odd_rows], [None if r[0] is None else f"d{r[0]:02}" for r in odd_rows]
+    assert got == Counter(zip(ids, brute_components(fps, ids)))
+    assert simhash.keep_one_of_each(named(odd)).count() == len(set(brute_components(fps, ids)))
+
+
 @pytest.mark.parametrize("segments", [1, 7])
 def test_links_by_brute_force(spark, segments):
     rng = random.Random(segments)
@@ -363,6 +375,14 @@ def test_suffix_dedup_of_odd_rows(which, odd, none, clashing, odd_rows):
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute_removal([(r[1] or "").encode() for r in rows], 400)))
 
 
+@pytest.mark.parametrize("ids", ["strings", "none"])
+def test_suffix_dedup_with_other_ids(ids, odd, odd_rows):
+    df = named(odd) if ids == "strings" else odd.withColumn("doc_id", F.lit(None).cast("long"))
+    got = Counter(tuple(r) for r in suffix_dedup.deduplicate(df).collect())
+    keys = [f"d{r[0]:02}" if ids == "strings" and r[0] is not None else None for r in odd_rows]
+    assert got == Counter((k, *x) for k, x in zip(keys, brute_removal([(r[1] or "").encode() for r in odd_rows], 400)))
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------------------
 
 
