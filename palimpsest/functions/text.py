@@ -25,8 +25,10 @@ def one_of(characters: tuple[str, ...]) -> str:
 
 
 def without(text: Column, characters: tuple[str, ...]) -> Column:
-    """Most texts hold none of them, which a search tells faster than a replacement."""
-    return F.when(text.rlike(one_of(characters)), F.regexp_replace(text, one_of(characters), "")).otherwise(text)
+    """Replacing one character at a time compares bytes only, which costs less than a regular expression."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def count_of(text: Column, characters: tuple[str, ...]) -> Column:
@@ -94,11 +96,9 @@ def excerpt(text: Column, most: int = 400) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """The larger of a quarter of the characters (rounded up) and the words, which are counted only where there are blanks enough."""
-    quarter = F.floor((F.char_length(text) + 3) / 4).cast("int")
+    """The larger of a quarter of the characters (rounded up) and the words."""
     words = F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
-    blanks = F.char_length(text) - F.char_length(F.translate(text, BLANKS, ""))
-    return F.when(text.isNull() | (text == ""), 0).when(blanks < quarter, quarter).otherwise(F.greatest(quarter, words))
+    return F.when(text.isNull() | (text == ""), 0).otherwise(F.greatest(F.floor((F.char_length(text) + 3) / 4).cast("int"), words))
 
 
 def whole_term(text: Column, term: str) -> Column:
