@@ -63,9 +63,16 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.split(text, " "))
 
 
-def _perfect(line: Column, words: Column, other: Column) -> Column:
-    subset = (F.size(F.array_except(words, other["words"])) == 0) | (F.size(F.array_except(other["words"], words)) == 0)
-    return line.contains(other["text"]) | other["text"].contains(line) | subset
+def _within(words: Column, others: Column, text: Column) -> Column:
+    """Whether all words are among the others, which make up a text: the first and the last are looked for in the text before sets are compared."""
+    ends = text.contains(F.get(words, F.lit(0))) & text.contains(F.element_at(words, -1))
+    return ends & (F.size(F.array_except(words, others)) == 0)
+
+
+def _perfect(line: Column, words: Column, found: Column) -> Column:
+    """Whether some candidate scores 100 by definition.  Most lines stand in one, so all candidates are looked through for that first."""
+    held = F.exists(found, lambda c: line.contains(c["text"]) | c["text"].contains(line))
+    return held | F.exists(found, lambda c: _within(words, c["words"], c["text"]) | _within(c["words"], words, line))
 
 
 def _beside_candidates(lines: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def _beside_candidates(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     place = F.struct("start", F.col("candidate").alias("text"), _words(F.col("candidate")).alias("words"))
     some = candidates.groupBy(*PAGE).agg(F.collect_list(place).alias("found"))
     own = _by_page(lines.select(*PAGE, "line_no", "norm")).withColumn("words", _words(F.col("norm")))
-    return own.join(some, PAGE).withColumn("aligned", F.exists("found", lambda c: _perfect(F.col("norm"), F.col("words"), c)))
+    return own.join(some, PAGE).withColumn("aligned", _perfect(F.col("norm"), F.col("words"), F.col("found")))
 
 
 def exact_alignment(lines: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import pytest
@@ -188,3 +189,27 @@ def test_case_folding_of_all_code_points(spark):
     words = ["STRASSE Straße", "ΟΔΥΣΣΕΥΣ ὀδυσσεύς", "İstanbul", "ﬃ Ǆ", "", None]
     got = spark.createDataFrame(list(enumerate(words)), "i int, t string").select("i", tx.casefold(F.col("t")).alias("f")).collect()
     assert {r.i: r.f for r in got} == {i: None if w is None else w.casefold() for i, w in enumerate(words)}
+
+
+def test_combing_of_many_pairs_of_unlike_sizes():
+    rng = random.Random(11)
+    said = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    pairs = [(said(rng.randint(1, 30)), said(rng.randint(1, 60))) for _ in range(40)] + [("\U0010ffff￾", "a￾\U0010ffff"), ("￾", "￿")]
+    for (a, b), start in zip(pairs, fuzzy.comb([(fuzzy.codes(a), fuzzy.codes(b)) for a, b in pairs])):
+        for s, e in [(0, len(b)), (len(b) // 3, len(b))]:
+            assert int((start[s:e] < s).sum()) == e - s - int((start[s:e] >= s).sum())
+            assert e - s - int((start[s:e] >= s).sum()) == fuzzy.lcs_length(a, b[s:e])
+        if len(a) <= len(b):
+            assert fuzzy.best_window(start, len(a)) == pytest.approx(brute_partial(a, b))
+
+
+def test_comparison_form_of_every_latin_letter(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import text as tx
+
+    texts = [f"A{unicodedata.normalize('NFKC', chr(c))}b  {chr(c).upper()}" for c in range(0x250)] + ["Straße № 5", "", " - ", None]
+    texts = [None if x is None else unicodedata.normalize("NFKC", x) for x in texts]
+    want = [None if x is None else " ".join(re.sub(r"[^\w\s]", " ", x).casefold().split()) for x in texts]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", tx.comparison_form(F.col("x")).alias("y")).orderBy("k").collect()
+    assert [(k, x, r.y) for (k, x), r in zip(enumerate(texts), rows) if r.y != want[k] and not (x and 0x1C <= ord(x[1]) <= 0x1F)] == []
