@@ -21,6 +21,10 @@ def usage_windows(runs: DataFrame, per_hour: int = 10, per_day: int = 50) -> Dat
     return rows.withColumn("limited_by", F.when(F.col("runs_last_hour") > per_hour, "hour").when(F.col("runs_today") > per_day, "day"))
 
 
+#: In microseconds.
+HOUR = 3_600_000_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Runs an hour and a day, jobs a day, a user's spend and everybody's spend a day (in ten-thousandths)."""
@@ -43,16 +47,35 @@ def usage_decisions(attempts: DataFrame, limits: Limits = Limits()) -> DataFrame
     """Attempts (user_id, event_id, created_at, kind run / job / call, cost in ten-thousandths), refused ones counted too: runs_last_hour,
     runs_today, jobs_today (this moment's included), spent_before, closed (everybody's spend had reached its limit by an earlier minute) and limited_by."""
     micros = F.unix_micros("created_at")
-    day = F.floor(micros / 86_400_000_000)
-    rows = attempts.select("user_id", "event_id", "created_at", "kind", F.col("cost").cast("long").alias("cost"), micros.alias("at"), day.alias("today"))
-    hour = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
-    today = Window.partitionBy("user_id", "today").orderBy("at")
-    upto, before = today.rangeBetween(Window.unboundedPreceding, 0), today.rangeBetween(Window.unboundedPreceding, -1)
+    hour = F.floor(F.col("at") / HOUR)
+    rows = attempts.select("user_id", "event_id", "created_at", "kind", F.col("cost").cast("long").alias("cost"), micros.alias("at")).withColumns({"hour": hour, "today": F.floor(F.col("at") / (24 * HOUR))})
     run, job, call = (F.col("kind") == k for k in ("run", "job", "call"))
-    told = rows.withColumns({
-        "runs_last_hour": F.count_if(run).over(hour), "runs_today": F.count_if(run).over(upto), "jobs_today": F.count_if(job).over(upto),
-        "spent_before": F.coalesce(F.sum(F.when(call, F.col("cost"))).over(before), F.lit(0)),
-    })
+    spent = F.when(call, F.col("cost"))
+    # What an attempt sees lies in its hour and the one before, besides the sums of the day's earlier hours, so windows are an hour of a user
+    # and each frame begins where its window does: a run counts from its moment on (change 1) and not after an hour (change -1, in the next hour).
+    none, key = F.lit(0).cast("long"), ["user_id", "hour"]
+    own = rows.select("*", F.lit(True).alias("own"), F.when(run, 1).otherwise(0).cast("long").alias("change"), F.when(run, 1).otherwise(0).cast("long").alias("runs"), F.when(job, 1).otherwise(0).cast("long").alias("jobs"), spent.alias("spent"))
+    blank = lambda df, at, change, runs, jobs, spent_: df.select(
+        "user_id", F.lit(None).cast(attempts.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(attempts.schema["created_at"].dataType).alias("created_at"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("cost"),
+        at.alias("at"), "hour", "today", F.lit(False).alias("own"), change.alias("change"), runs.alias("runs"), jobs.alias("jobs"), spent_.alias("spent"),
+    )
+    moments = rows.where(run & F.col("at").isNotNull()).groupBy("user_id", "at").agg(F.count("*").alias("n"))
+    after = moments.withColumn("hour", hour + 1).withColumn("today", F.floor(F.col("hour") / 24))
+    leaving = after.where(F.col("at") + HOUR + 1 < (F.col("hour") + 1) * HOUR)
+    hours = rows.groupBy(*key, "today").agg(F.count_if(run).alias("runs"), F.count_if(job).alias("jobs"), F.sum(spent).alias("spent"))
+    earlier = Window.partitionBy("user_id", "today").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select(*key, "today", *[F.sum(c).over(earlier).alias(c) for c in ("runs", "jobs", "spent")])
+    entering = after.groupBy(*key, "today").agg(F.sum("n").alias("n"))
+    start = F.col("hour") * HOUR - 1
+    whole = reduce(DataFrame.unionByName, [
+        own, blank(entering, start, F.col("n"), none, none, F.lit(None).cast("long")), blank(leaving, F.col("at") + HOUR + 1, -F.col("n"), none, none, F.lit(None).cast("long")),
+        blank(carried, start, none, F.col("runs"), F.col("jobs"), F.col("spent")),
+    ])
+    along = Window.partitionBy(*key).orderBy("at")
+    upto, before = along.rangeBetween(Window.unboundedPreceding, 0), along.rangeBetween(Window.unboundedPreceding, -1)
+    told = whole.withColumns({
+        "runs_last_hour": F.sum("change").over(upto), "runs_today": F.sum("runs").over(upto), "jobs_today": F.sum("jobs").over(upto), "spent_before": F.coalesce(F.sum("spent").over(before), F.lit(0)),
+    }).where("own").drop("own", "change", "runs", "jobs", "spent", "hour")
     # a row a minute, then a row a day
     minutes = rows.where(call).groupBy("today", F.floor(F.col("at") / 60_000_000).alias("minute")).agg(F.sum("cost").alias("cost"))
     spent = F.sum("cost").over(Window.partitionBy("today").orderBy("minute"))

@@ -174,3 +174,11 @@ def test_poisoned_documents_are_rejected_and_the_rest_stored(spark, tmp_path):
         assert spark.read.schema("doc_id long, seqno int").parquet(out).count() == 300 * k
     with pytest.raises(Exception, match="more than 1 documents"):
         feeds.ingest(stream, detect, out, str(tmp_path / "c4"), rejects, most=1).trigger(availableNow=True).start().awaitTermination()
+
+
+# --- growth -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_hour_sums_have_no_sliding_frame(spark, attempts):
+    plan = metrics.usage_decisions(attempts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-3600000000" not in plan and "hour" in plan
