@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -112,6 +114,25 @@ def isolated(batch: DataFrame, detect: Callable[[DataFrame], DataFrame], folder:
     return found, failed
 
 
+def guarded(read: Callable[[dict], list[dict]], schema: StructType, key: str = "doc_id", code_of: Callable[[Exception], str] = lambda error: "extraction_failed") -> Callable[[DataFrame], DataFrame]:
+    """A detector for `ingest` from a function of one document's row, whose error is the document's own: it is caught where it happens and told
+    as the document's failure_code, so all of a batch is done in one pass however many documents break."""
+    out = StructType([*schema.fields, StructField("failure_code", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = []
+            for row in b.to_pylist():
+                try:
+                    told += [{**x, "failure_code": None} for x in read(row)]
+                except Exception as error:  # noqa: BLE001
+                    told.append({key: row[key], "failure_code": code_of(error)})
+            if told:
+                yield pa.RecordBatch.from_pylist(told, schema=to_arrow_schema(out))
+
+    return lambda batch: batch.mapInArrow(run, out)
+
+
 def ingest(
     spans: DataFrame,
     detect: Callable[[DataFrame], DataFrame],
@@ -126,7 +147,8 @@ def ingest(
     """Runs detectors over each batch of whole documents and replaces their findings; a rerun of a batch gives the same table.
 
     With a table of rejects, documents that `check` refuses (key, failure_code) or at which detect breaks go there and lose what was stored
-    of them; the rest of the batch is stored, and a document that later succeeds leaves the rejects.
+    of them; the rest of the batch is stored, and a document that later succeeds leaves the rejects.  A detector that tells its own failures
+    (`guarded`) sends them to the rejects too, any number of them.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -139,6 +161,9 @@ def ingest(
             refused = batch.sparkSession.createDataFrame([], schema) if check is None else check(batch).select(key, "failure_code").distinct()
             found, failed = isolated(batch.join(refused, key, "left_anti"), detect, f"{checkpoint}-tries/{number}", key, most, code_of)
             told = refused.unionByName(batch.sparkSession.createDataFrame(failed, schema))
+            if found is not None and "failure_code" in found.columns:
+                own = found.where("failure_code is not null").select(key, "failure_code").distinct()
+                told, found = told.unionByName(own), found.join(own, key, "left_anti").drop("failure_code")
             replace_keys(told, keys, rejects, key)
             if found is None:  # nothing succeeded: what was stored goes
                 drop_keys(keys, path, key)

@@ -196,3 +196,19 @@ def test_a_busy_day_in_one_step():
     assert time.perf_counter() - began < 20 and sum(map(len, out)) == 200_000
     last = out[-1].iloc[-1]
     assert last.runs_today == 66_667 and last.jobs_today == 66_667 and last.spent_before == 66_666 * 5 and last.runs_last_hour == 12_001
+
+
+def test_any_number_of_broken_documents_in_one_pass(spark, tmp_path):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    def read(row):
+        if row["doc_id"] % 2:
+            raise ValueError("unreadable")
+        return [{"doc_id": row["doc_id"], "n": row["n"]}] * 2
+
+    spark.range(600).selectExpr("id as doc_id", "id * 3 as n").coalesce(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, n long").parquet(str(tmp_path / "in"))
+    detect = feeds.guarded(read, StructType([StructField("doc_id", LongType()), StructField("n", LongType())]))
+    feeds.ingest(stream, detect, str(tmp_path / "out"), str(tmp_path / "c"), str(tmp_path / "rejects")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "rejects")).where("failure_code = 'extraction_failed'").collect()) == list(range(1, 600, 2))
+    assert sorted((r.doc_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted([(d, 3 * d) for d in range(0, 600, 2)] * 2)
