@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -187,5 +187,27 @@ def call_windows(calls: DataFrame, width: str = "1 hour", late: str = "1 hour")
 
 
 def usage_limits(runs: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Attempts of each user in a sliding hour that moves by the minute."""
-    return runs.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour", "1 minute").alias("w"), "user_id").agg(F.count("*").alias("n")).select("w.end", "user_id", "n")
+    """Attempts of each user by minute: (start, user_id, n).  The sliding hour follows from them (`sliding_hours`), so no attempt is held sixty times."""
+    return runs.withWatermark("created_at", late).groupBy(F.window("created_at", "1 minute").alias("w"), "user_id").agg(F.count("*").alias("n")).select("w.start", "user_id", "n")
+
+
+def sliding_hours(minutes: DataFrame, size: int = 60) -> DataFrame:
+    """(end, user_id, n) of each user's sliding hour that moves by the minute, where it holds something, from counts by minute.
+
+    A minute's count comes with the hour that ends after it and goes `size` minutes later; between two such changes the sum stays, so the
+    rows of a stretch are made where it is found.  A user's blocks of `size` minutes are windows of their own: what an earlier block leaves
+    comes in with the minutes of that block.
+    """
+    block = lambda m: F.floor(m / size)
+    own = minutes.select("user_id", (F.unix_seconds("start") / 60).cast("long").alias("m"), "n")
+    both = own.select("user_id", "m", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("later")).withColumn("block", block(F.col("m")) + F.col("later"))
+    # in its own block a minute comes (from m on), in the next it is there from the beginning and goes
+    begin = F.col("block") * size
+    change = F.when(F.col("later") == 0, F.array(F.struct(F.col("m").alias("at"), F.col("n").alias("change")))).otherwise(
+        F.array(F.struct(begin.alias("at"), F.col("n").alias("change")), F.struct((F.col("m") + size).alias("at"), (-F.col("n")).alias("change")))
+    )
+    steps = both.select("user_id", "block", F.inline(change)).groupBy("user_id", "block", "at").agg(F.sum("change").alias("change"))
+    along = Window.partitionBy("user_id", "block").orderBy("at")
+    told = steps.withColumns({"n": F.sum("change").over(along), "until": F.coalesce(F.lead("at").over(along), (F.col("block") + 1) * size)})
+    ends = told.where((F.col("n") > 0) & (F.col("until") > F.col("at"))).withColumn("e", F.explode(F.sequence("at", F.col("until") - 1)))
+    return ends.select(F.timestamp_seconds((F.col("e") + 1) * 60).alias("end"), "user_id", "n")

@@ -212,3 +212,15 @@ def test_any_number_of_broken_documents_in_one_pass(spark, tmp_path):
     feeds.ingest(stream, detect, str(tmp_path / "out"), str(tmp_path / "c"), str(tmp_path / "rejects")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "rejects")).where("failure_code = 'extraction_failed'").collect()) == list(range(1, 600, 2))
     assert sorted((r.doc_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted([(d, 3 * d) for d in range(0, 600, 2)] * 2)
+
+
+def test_sliding_hours_by_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(T0 + dt.timedelta(minutes=m), u, rng.randint(1, 4)) for u in (1, 2) for m in rng.sample(range(400), 12)] + [(T0 + dt.timedelta(minutes=m), 3, 1) for m in (0, 59, 60, 61, 119, 120, 500)]
+    got = {(r.end, r.user_id): r.n for r in feeds.sliding_hours(spark.createDataFrame(rows, "start timestamp, user_id long, n long")).collect()}
+    want = {}
+    for at, u, n in rows:
+        for k in range(1, 61):
+            end = at + dt.timedelta(minutes=k)
+            want[end, u] = want.get((end, u), 0) + n
+    assert got == want
