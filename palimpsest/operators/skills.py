@@ -89,12 +89,18 @@ def keyed_by_rarest(terms: DataFrame, counts: DataFrame) -> DataFrame:
     return own.groupBy("canonical", "alias").agg(best).where("b.n > 0").select("canonical", "alias", "b.word")
 
 
-def match_vocabulary(spans: DataFrame, vocab: DataFrame, shares: int = SHARES) -> DataFrame:
+#: So many aliases go to every task at most: with their words some 2 MB.
+SMALL_VOCABULARY = 20_000
+
+
+def match_vocabulary(spans: DataFrame, vocab: DataFrame, shares: int = SHARES, small: int = SMALL_VOCABULARY) -> DataFrame:
     """The same for a vocabulary table of any size.
 
     An alias waits at the rarest of its words, so "of the day" meets the spans with "day" only, and a span is compared with the few aliases
-    that wait at its words; the whole alias is confirmed in the text.  A word with more rows than a `shares`th of all is dealt out over as
-    many salts as shares it has: there are at most `shares` such words, which is what is broadcast, and few aliases wait at each.
+    that wait at its words; the whole alias is confirmed in the text.  Up to `small` aliases are broadcast, and spans stay where they are.
+    Beyond that (word, span) pairs without texts are dealt out, and the texts meet only the aliases found for them.  A word with more rows
+    than a `shares`th of all is dealt out over as many salts as shares it has: there are at most `shares` such words, which is what is
+    broadcast, and few aliases wait at each.
     """
     low = F.lower("text")
     terms = vocab.select("canonical", F.lower("alias").alias("alias")).distinct()
@@ -102,16 +108,22 @@ def match_vocabulary(spans: DataFrame, vocab: DataFrame, shares: int = SHARES) -
     wanted = terms.select(F.explode(_word_list(F.col("alias"))).alias("word")).distinct()
     counts = word_counts(texts, wanted)
     keyed = keyed_by_rarest(terms, counts)
+    found = F.expr(rf"rlike(low, concat('(?<![\\p{{L}}\\p{{N}}_])\\Q', alias, '\\E(?![\\p{{L}}\\p{{N}}_])'))")
+    words = F.explode(_word_list(F.col("low"))).alias("word")
+    own = ["doc_id", "span_id", "page", "seqno"]
+    if terms.limit(small + 1).count() <= small:
+        met = texts.select(*own, "low", words).join(F.broadcast(keyed), "word")  # at most `small` rows
+        return met.where(found).select(*own, "canonical").distinct()
     used = counts.join(keyed.select("word").distinct(), "word", "left_semi")
     total = used.agg(F.ceil(F.sum("n") / shares).alias("share"))  # one row
     hot = used.crossJoin(F.broadcast(total)).where("n > share").select("word", F.ceil(F.col("n") / F.col("share")).alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
-    rows = texts.withColumn("word", F.explode(_word_list(F.col("low")))).join(F.broadcast(hot), "word", "left")
+    rows = texts.select("doc_id", "span_id", words).join(F.broadcast(hot), "word", "left")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "span_id"), salts)).drop("salts")
     waiting = keyed.join(F.broadcast(hot), "word", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
-    met = rows.join(waiting, ["word", "salt"])
-    found = F.expr(rf"rlike(low, concat('(?<![\\p{{L}}\\p{{N}}_])\\Q', alias, '\\E(?![\\p{{L}}\\p{{N}}_])'))")
-    return met.where(found).select("doc_id", "span_id", "page", "seqno", "canonical").distinct()
+    met = rows.join(waiting, ["word", "salt"]).select("doc_id", "span_id", "canonical", "alias")
+    asked = met.groupBy("doc_id", "span_id").agg(F.collect_set(F.struct("canonical", "alias")).alias("asked"))
+    return texts.join(asked, ["doc_id", "span_id"]).select(*own, "low", F.inline("asked")).where(found).select(*own, "canonical").distinct()
 
 
 def confidence(support: Column, flagged: Column) -> Column:

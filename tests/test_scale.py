@@ -224,3 +224,13 @@ def test_sliding_hours_by_brute_force(spark):
             end = at + dt.timedelta(minutes=k)
             want[end, u] = want.get((end, u), 0) + n
     assert got == want
+
+
+def test_small_and_large_vocabularies_agree(spark):
+    table = spark.createDataFrame([(k, f"s{k}", 1, k, "The end of the day, w%d and c++" % (k % 7)) for k in range(50)], "doc_id long, span_id string, page int, seqno int, text string")
+    vocab = spark.createDataFrame([("THE", "the"), ("DAY", "of the day"), ("W", "w3"), ("W", "w4"), ("NO", "of day")], "canonical string, alias string")
+    told = [sorted(map(tuple, skills.match_vocabulary(table, vocab, small=n).collect())) for n in (0, 100)]
+    assert told[0] == told[1] and {x[4] for x in told[0]} == {"THE", "DAY", "W"}
+    # texts are dealt out by no word
+    plan = skills.match_vocabulary(table, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 1
