@@ -196,12 +196,16 @@ def jaccard(df: DataFrame, a: str, b: str) -> Column:
 
 def extraction_quality(truth: DataFrame, said: DataFrame, least: float = 0.5) -> DataFrame:
     """truth and said (job_id, ordinal, text, necessity, criticality): matched one to one by shared words, then precision, recall and accuracies per job."""
-    words = lambda c: F.array_distinct(F.split(tx.comparison_form(F.col(c)), " "))
+    words = lambda c: F.sort_array(F.array_distinct(F.split(tx.comparison_form(F.col(c)), " ")))
     t = truth.select("job_id", F.col("ordinal").alias("t"), words("text").alias("tw"), F.col("necessity").alias("tn"), F.col("criticality").alias("tc"))
     s = said.select("job_id", F.col("ordinal").alias("s"), words("text").alias("sw"), F.col("necessity").alias("sn"), F.col("criticality").alias("sc"))
-    # only pairs that share a word can be alike
-    near = t.withColumn("w", F.explode("tw")).join(s.withColumn("w", F.explode("sw")), ["job_id", "w"]).drop("w").dropDuplicates(["job_id", "t", "s"])
-    near = near.withColumn("alike", F.size(F.array_intersect("tw", "sw")) / F.size(F.array_union("tw", "sw"))).where(F.col("alike") >= least)
+    # two sets of which so large a part is common share a word among the first of either, in an order that both have: all but least * size, and one
+    first = lambda w: F.slice(w, 1, F.greatest(F.size(w) - F.ceil(F.size(w) * F.lit(least) - 1e-9).cast("int") + 1, F.lit(1)))
+    near = t.withColumn("w", F.explode(first(F.col("tw")))).join(s.withColumn("w", F.explode(first(F.col("sw")))), ["job_id", "w"])
+    # a pair counts once, at the first word that it shares
+    common = F.array_intersect("tw", "sw")
+    near = near.where(F.col("w") == F.get(common, F.lit(0))).withColumn("alike", F.size(common) / F.size(F.array_union("tw", "sw"))).where(F.col("alike") >= least)
+    near = near.select("job_id", "t", "s", "tn", "sn", "tc", "sc", "alike")
     best = lambda side, other: F.row_number().over(Window.partitionBy("job_id", side).orderBy(F.desc("alike"), other))
     pairs = near.withColumns({"of_t": best("t", "s"), "of_s": best("s", "t")}).where("of_t = 1 and of_s = 1")
     hits = pairs.groupBy("job_id").agg(F.count("*").alias("matched"), F.avg((F.col("tn") == F.col("sn")).cast("double")).alias("necessity_accuracy"), F.avg((F.abs(F.col("tc") - F.col("sc")) <= 1).cast("double")).alias("criticality_within_one"))

@@ -234,3 +234,18 @@ def test_small_and_large_vocabularies_agree(spark):
     # texts are dealt out by no word
     plan = skills.match_vocabulary(table, vocab)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") >= 1
+
+
+def test_extraction_quality_loses_no_pair(spark):
+    rng = random.Random(9)
+    said_ = lambda: " ".join(rng.sample(["a1", "b2", "c3", "d4", "e5", "f6"], rng.randint(1, 6)))
+    truth, told = ([(j, k, said_(), "required", 1) for j in range(25) for k in range(5)] for _ in range(2))
+    schema = "job_id int, ordinal int, text string, necessity string, criticality int"
+    for least in (0.34, 0.5, 2 / 3, 0.9, 1.0):
+        got = {r.job_id: r.matched for r in metrics.extraction_quality(spark.createDataFrame(truth, schema), spark.createDataFrame(told, schema), least).collect()}
+        for j in range(25):
+            t, s = ([(k, set(x.split())) for i, k, x, *_ in rows if i == j] for rows in (truth, told))
+            near = [(len(a & b) / len(a | b), x, y) for x, a in t for y, b in s if a & b and len(a & b) / len(a | b) >= least]
+            best = lambda own, other: {p[own]: min((-q[0], q[other]) for q in near if q[own] == p[own])[1] for p in near}
+            of_t, of_s = best(1, 2), best(2, 1)
+            assert got[j] == sum(of_s[y] == x for x, y in of_t.items())
