@@ -66,9 +66,18 @@ def casefold(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*+$"), F.lower(text)).when(text.rlike(one_of(tuple(FOLD_MANY))), spread).otherwise(one)
 
 
+#: Texts of Latin-1 only, without the micro sign, whose case folding is no lower case; and what is no word character in them, in lower case.
+_LATIN_1, _NO_WORD = r"^[\x00-\xb4\xb6-\xff]*+$", r"[^a-z0-9_\xaa\xb2\xb3\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+"
+
+
 def comparison_form(text: Column) -> Column:
-    """What is left when case, punctuation and spacing are taken off.  The text must be NFKC already (`nfkc_column`)."""
-    return casefold(collapse(F.regexp_replace(text, rf"(?U)[^{WORD_CLASS}\s]", " ")))
+    """What is left when case, punctuation and spacing are taken off.  The text must be NFKC already (`nfkc_column`).
+
+    Most texts are Latin-1: there lower case and sharp s are all of case folding, and one pattern without Unicode tables does the rest.
+    """
+    plain = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), _NO_WORD, " "))
+    other = casefold(collapse(F.regexp_replace(text, rf"(?U)[^{WORD_CLASS}\s]", " ")))
+    return F.when(text.rlike(_LATIN_1), plain).otherwise(other)
 
 
 @F.pandas_udf(StringType())
