@@ -20,6 +20,12 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B
 WORD_CLASS = r"\p{L}\p{N}_"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns in a way that a later condition on them is not pushed below, where all that they follow from would be worked out again for each mention."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def one_of(characters: tuple[str, ...]) -> str:
     return "[" + "".join(characters) + "]"
 
@@ -138,6 +144,10 @@ def title_case(text: Column) -> Column:
     return let(F.filter(F.split(text, ""), lambda c: c != ""), cased)
 
 
+#: Words of ASCII letters between single blanks, for which a label needs no look at each letter.
+PLAIN_WORDS = r"^[A-Za-z]++(?: [A-Za-z]++)*+$"
+
+
 def skill_label(text: Column) -> Column:
     """A short label for a requirement."""
 
@@ -153,8 +163,15 @@ def skill_label(text: Column) -> Column:
     def shown(label: Column) -> Column:
         return F.when(F.char_length(label) <= 30, title_case(label)).otherwise(strip(F.substring(label, 1, 30)))
 
-    label = let(strip(text), lambda whole: let(strip(F.regexp_replace(whole, QUALIFIER, "")), lambda rest: cut(whole, rest)))
-    return F.when(text.isNull() | (text == ""), F.lit("Requirement")).otherwise(let(let(label, four_words), shown))
+    def plain(rest: Column) -> Column:
+        label = F.substring_index(rest, " ", 4)
+        return F.when(F.char_length(label) <= 30, F.initcap(label)).otherwise(strip(F.substring(label, 1, 30)))
+
+    def told(whole: Column) -> Column:
+        other = lambda rest: let(let(cut(whole, rest), four_words), shown)
+        return let(strip(F.regexp_replace(whole, QUALIFIER, "")), lambda rest: F.when(rest.rlike(PLAIN_WORDS), plain(rest)).otherwise(other(rest)))
+
+    return F.when(text.isNull() | (text == ""), F.lit("Requirement")).otherwise(let(strip(text), told))
 
 
 #: Boilerplate families and their patterns.

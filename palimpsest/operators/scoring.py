@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decimals import dec, dec4, quantize
 
+KEY = ["run_id", "requirement_id"]
 NECESSITY_FACTOR = {"required": "1.0", "preferred": "0.4"}
 SATISFACTION = {"direct": "1.0000", "adjacent": "0.6000"}
 
@@ -28,10 +29,25 @@ def last_of_each(claims: DataFrame) -> DataFrame:
     return claims.groupBy("run_id", "requirement_id").agg(F.max_by(F.struct(*rest), "pos").alias("c")).select("run_id", "requirement_id", "c.*")
 
 
+def beside(requirements: DataFrame, claims: DataFrame, told: list[str]) -> DataFrame:
+    """Every requirement with `claim`, a struct of what is told by its last claim, or null.
+
+    Both kinds of rows are dealt out by run together, once, and meet in a window of their requirement; whatever follows by run moves no more.
+    """
+    rest = [c for c in requirements.columns if c not in KEY]
+    asked = requirements.select(*KEY, F.struct(*rest).alias("asked"))
+    # no filter here, so that both sides of tables with a common source read one exchange; without a key nothing meets
+    keyed = F.col("run_id").isNotNull() & F.col("requirement_id").isNotNull()
+    said = claims.select(*KEY, "pos", F.when(keyed, F.struct(*told)).alias("claim"))
+    both = asked.unionByName(said, allowMissingColumns=True).repartition("run_id")
+    rows = both.withColumn("claim", F.max_by("claim", "pos").over(Window.partitionBy(*KEY))).where("asked is not null")
+    return rows.select(*KEY, *[F.col("asked")[c].alias(c) for c in rest], "claim")
+
+
 def score_rows(requirements: DataFrame, claims: DataFrame) -> DataFrame:
     """A row for each requirement with every factor of its contribution, each rounded as it would be stored."""
-    own = last_of_each(claims).select("run_id", "requirement_id", "met", "match_type", "evidence_spans", "corroboration", "integrity_factor")
-    rows = requirements.join(own, ["run_id", "requirement_id"], "left")
+    told = ["met", "match_type", "evidence_spans", "corroboration", "integrity_factor"]
+    rows = beside(requirements, claims, told).select("*", *[F.col("claim")[c].alias(c) for c in told])
     necessity = F.lower("necessity")
     kind = F.lower("match_type")
     counts = F.coalesce(F.col("met"), F.lit(False)) & F.coalesce(kind != "none", F.lit(False))

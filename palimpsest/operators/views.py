@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import gaps
+
 
 def page(df: DataFrame, limit: int, cursor: tuple | None = None, time: str = "created_at", key: str = "run_id", where: Column | None = None) -> DataFrame:
     """One page of a list, newest first, by keyset: rows before the cursor (time, key); next_key is set on all rows if there are more."""
@@ -48,32 +50,27 @@ def job_view(jobs: DataFrame, requirements: DataFrame) -> DataFrame:
     return jobs.join(own, "job_id", "left").withColumns({"requirement_count": F.coalesce("requirement_count", F.lit(0)), "status": status})
 
 
-def match_view(runs: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Runs with their claims in requirement order; each claim's evidence has its primary span first."""
-    spans = evidence.groupBy("run_id", "requirement_id").agg(F.transform(_array(["cite_pos"], "span_id"), lambda s: s["span_id"]).alias("spans"))
-    rows = claims.join(spans, ["run_id", "requirement_id"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<string>")))
-    missing = F.col("primary_span_id").isNotNull() & ~F.array_contains("spans", F.col("primary_span_id"))
-    rows = rows.withColumn("all_evidence_spans", F.when(missing, F.array_prepend("spans", F.col("primary_span_id"))).otherwise(F.col("spans")))
-    told = rows.groupBy("run_id").agg(_array(["ordinal"], "requirement_id", "met", "match_type", "contribution", "primary_span_id", "all_evidence_spans").alias("claims"))
+def match_view(runs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Runs with their built claims in requirement order; each claim's evidence has its primary span first."""
+    told = claims.groupBy("run_id").agg(_array(["ordinal"], "requirement_id", "met", "match_type", "contribution", "primary_span_id", "all_evidence_spans").alias("claims"))
     return runs.join(told, "run_id", "left")
 
 
-def claim_details(requirements: DataFrame, claims: DataFrame, spans: DataFrame) -> DataFrame:
-    """Claims beside their requirements, decimals as doubles, defaults filled in; bbox is null unless all four sides are known."""
-    own = requirements.select("run_id", "requirement_id", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("kind", "hard_skill"), ("necessity", "required"), ("criticality", 2))])
-    known = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
-    place = spans.select(F.col("span_id").alias("primary_span_id"), F.col("page").alias("primary_page"), F.when(known, F.array("x0", "y0", "x1", "y1")).alias("bbox"))
+def claim_details(claims: DataFrame) -> DataFrame:
+    """Built claims beside their requirements, decimals as doubles, defaults filled in; bbox is null unless all four sides are known."""
+    own = [F.coalesce(c, F.lit(d)).alias(n) for c, n, d in (("requirement_kind", "kind", "hard_skill"), ("necessity", "necessity", "required"), ("criticality", "criticality", 2))]
+    box = F.col("primary_bbox")
     factors = ["satisfaction", "corroboration", "integrity_factor", "evidence_quality", "weight_applied", "contribution", "confidence"]
-    told = claims.select("run_id", "requirement_id", "met", "match_type", "primary_span_id", *[F.col(c).cast("double").alias(c) for c in factors])
-    return own.join(told, ["run_id", "requirement_id"]).join(place, "primary_span_id", "left")
+    return claims.select(
+        "run_id", "requirement_id", *own, "met", "match_type", "primary_span_id", *[F.col(c).cast("double").alias(c) for c in factors],
+        "primary_page", F.when(~F.exists(box, lambda x: x.isNull()), box).alias("bbox"),
+    )
 
 
-def gap_view(base: DataFrame, items: DataFrame, candidates: DataFrame, combinations: DataFrame) -> DataFrame:
-    """All that is known about a run's gaps in one row."""
-    gaps = items.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("points_available")).alias("p"), "ordinal", "requirement_id", "skill", "category", "projected_score"))).alias("gaps"))
-    cands = candidates.groupBy("run_id").agg(_array(["rank"], "skill", "category", "points_available", "projected_score").alias("candidates"))
-    combos = combinations.groupBy("run_id").agg(_array(["mask"], "skills", "projected_score").alias("combinations"))
-    return base.join(gaps, "run_id", "left").join(cands, "run_id", "left").join(combos, "run_id", "left")
+def gap_view(scored: DataFrame, k: int = 5) -> DataFrame:
+    """All that is known about a run's gaps in one row: its score, gaps, candidates, and the sets of candidates (`gaps.combinations`)."""
+    runs = gaps.of_runs(scored, k)
+    return runs.select("run_id", "score", "gaps", "candidates", gaps.combinations_of(F.col("candidates"), F.col("total_contribution"), F.col("total_weight")).alias("combinations"))
 
 
 def necessity_counts(claims: DataFrame) -> DataFrame:

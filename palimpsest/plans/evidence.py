@@ -90,14 +90,14 @@ BUILT_PARTS = LINK_PARTS | CITE_PARTS | {"judged": JUDGED, "built": BUILT}
 
 
 def _built(t):
-    return claims.build(t.requirements(), t.raw_claims(), t.spans(), grown_findings(t))
+    return claims.build(t.requirements(texts=False), t.raw_claims(), t.spans(), grown_findings(t))
 
 
 @query(sql("""select run_id, requirement_id, met, case when met then kind else 'none' end as match_type, s / 10000.0 as satisfaction, c / 10000.0 as corroboration, g / 10000.0 as integrity_factor, w / 10000.0 as weight_applied,
     case when has_claim then round(confidence * 10000)::int else 10000 end as conf_4, case when met then prim end as primary_span_id, reason is not null as rejected, reason, c * g // 10000 / 10000.0 as evidence_quality, w * s * (c * g // 10000) // 100000000 / 10000.0 as contribution from built""", "spans", "reqs", **BUILT_PARTS))
 def build_claims(t):
     out, _, _ = _built(t)
-    out = out.withColumn("conf_4", F.round(F.col("confidence") * 10000).cast("int")).drop("confidence", "ordinal", "rationale", "adjacency_note")
+    out = out.withColumn("conf_4", F.round(F.col("confidence") * 10000).cast("int")).drop("confidence", "ordinal", "requirement_kind", "necessity", "criticality", "rationale", "adjacency_note", "primary_page", "primary_bbox", "all_evidence_spans")
     return doubles(out, "satisfaction", "corroboration", "integrity_factor", "weight_applied", "evidence_quality", "contribution")
 
 
@@ -119,8 +119,7 @@ def claim_rejections(t):
 @query(sql(f"select run_id, {tenths('k', 'w')} / 10.0 as score, unmet as unmet_required_count from (select run_id, sum(w)::bigint as w, sum(w * s * (c * g // 10000) // 100000000)::bigint as k, count(*) filter (necessity = 'required' and w * s * (c * g // 10000) // 100000000 = 0) as unmet from built group by run_id)", "spans", "reqs", **BUILT_PARTS))
 def verified_match_score(t):
     """Scores over claims that were checked against their evidence."""
-    checked = claims.for_scoring(_built(t)[0])
-    return doubles(scoring.summarize(scoring.score_rows(t.requirements(), checked)).select("run_id", "score", "unmet_required_count"), "score")
+    return doubles(scoring.summarize(claims.as_scored(_built(t)[0])).select("run_id", "score", "unmet_required_count"), "score")
 
 
 @query(sql("""select requirement_id, kind as match_type, confidence from raw where l_partkey % 10 > 1""", "reqs", raw=RAW.replace("(l_partkey % 101) / 100.0 as confidence", "case l_partkey % 10 when 2 then 1.0 when 3 then 0.0 when 4 then 1.0 else (l_partkey % 101) / 100.0 end as confidence")))

@@ -188,18 +188,15 @@ def job_view(t):
 @query(sql("""select r.run_id, state, string_agg(requirement_id || ':' || coalesce(spans, ''), '|' order by ordinal) as claims from runs r left join (
     select b.run_id, b.requirement_id, b.ordinal, string_agg(c.span_id, ',' order by c.cite_pos) as spans from built b left join (select c.* from cited c join spans s on s.span_id = c.span_id) c on c.requirement_id = b.requirement_id and b.met group by all) x on x.run_id = r.run_id group by all""", "spans", "reqs", **BUILT_PARTS, runs=RUNS))
 def match_view(t):
-    built, evidence, _ = claims.build(t.requirements(), t.raw_claims(), t.spans(), grown_findings(t))
-    out = views.match_view(t.match_runs().select("run_id", "state"), built, evidence)
+    built, _, _ = claims.build(t.requirements(texts=False), t.raw_claims(), t.spans(), grown_findings(t))
+    out = views.match_view(t.match_runs().select("run_id", "state"), built)
     return out.select("run_id", "state", F.array_join(F.transform("claims", lambda c: F.concat(c["requirement_id"], F.lit(":"), F.array_join(c["all_evidence_spans"], ","))), "|").alias("claims"))
 
 
 @query(sql(f"""select run_id, {tenths('tk', 'tw')} / 10.0 as score, coalesce(n, 0)::int as n_gaps, first_gap, coalesce(nc, 0)::int as n_candidates, (case when coalesce(nc, 0) < 2 then 0 else (1 << nc) - 1 - nc end)::int as n_combinations
     from totals left join (select run_id, count(*) as n, arg_min(requirement_id, (100000 - points) * 1000 + ordinal) as first_gap from items group by run_id) using (run_id) left join (select run_id, count(*) as nc from cands group by run_id) using (run_id)""", "totals", **CANDIDATE_PARTS))
 def gap_view(t):
-    rows = scored(t)
-    found = gaps.items(rows)
-    cands = gaps.candidates(found)
-    out = views.gap_view(scoring.summarize(rows).select("run_id", "score"), found, cands, gaps.combinations(cands))
+    out = views.gap_view(scored(t, texts=True))
     size = lambda c: F.coalesce(F.size(F.coalesce(c, F.array().cast(out.schema[c].dataType))), F.lit(0))
     return doubles(out.select("run_id", "score", size("gaps").alias("n_gaps"), F.get("gaps", F.lit(0))["requirement_id"].alias("first_gap"), size("candidates").alias("n_candidates"), size("combinations").alias("n_combinations")), "score")
 
@@ -333,8 +330,8 @@ def score_stability(t):
 @query(sql("""select b.run_id, b.requirement_id, 'hard_skill' as kind, b.necessity, r.criticality, met, case when met then kind else 'none' end as match_type, c / 10000.0 as corroboration, w * s * (c * g // 10000) // 100000000 / 10000.0 as contribution, p.page as primary_page,
     case when p.page is null then null else p.x0 || '/' || p.y0 || '/' || p.x1 || '/' || p.y1 end as bbox from built b join (select requirement_id, criticality from reqs) r using (requirement_id) left join spans p on b.met and p.span_id = b.prim""", "spans", "reqs", **BUILT_PARTS))
 def claim_details(t):
-    built, _, _ = claims.build(t.requirements(), t.raw_claims(), t.spans(), grown_findings(t))
-    out = views.claim_details(t.requirements(), built, t.spans())
+    built, _, _ = claims.build(t.requirements(texts=False), t.raw_claims(), t.spans(), grown_findings(t))
+    out = views.claim_details(built)
     return out.select("run_id", "requirement_id", "kind", "necessity", "criticality", "met", "match_type", "corroboration", "contribution", "primary_page", F.array_join(F.col("bbox").cast("array<string>"), "/").alias("bbox"))
 
 

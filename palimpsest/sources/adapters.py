@@ -73,17 +73,24 @@ class Tables:
         numbered = self.read("lineitem").withColumn("ordinal", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*by)))
         return numbered.withColumns({"run_id": F.col("l_orderkey"), "requirement_id": F.concat_ws("-", "l_orderkey", "ordinal")})
 
-    def requirements(self) -> DataFrame:
-        part = self.read("part").select("p_partkey", "p_type", "p_name")
-        rows = self.run_lines().join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-        lead = F.when(F.col("l_partkey") % 3 == 0, F.lit("5+ years experience with ")).otherwise(F.lit(""))
+    def requirements(self, texts: bool = True) -> DataFrame:
+        """Without texts there is no need to look up parts."""
+        rows = self.run_lines()
+        if texts:
+            part = self.read("part").select("p_partkey", "p_type", "p_name")
+            rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+            lead = F.when(F.col("l_partkey") % 3 == 0, F.lit("5+ years experience with ")).otherwise(F.lit(""))
+            text = F.concat(lead, "p_type", F.lit(" "), "p_name")
+        else:
+            text = F.lit(None).cast("string")
         return rows.select(
-            "run_id", "ordinal", "requirement_id", F.concat(lead, "p_type", F.lit(" "), "p_name").alias("text"), F.lit("hard_skill").alias("kind"),
+            "run_id", "ordinal", "requirement_id", text.alias("text"), F.lit("hard_skill").alias("kind"),
             (F.col("l_partkey") % 3 + 1).cast("int").alias("criticality"), F.when(F.col("l_returnflag") == "R", "preferred").otherwise("required").alias("necessity"),
             F.lit(None).cast("decimal(6,4)").alias("weight"),
         )
 
-    def claims(self) -> DataFrame:
+    def claims(self, *keys: str) -> DataFrame:
+        """Further columns of the rows that they come from can be kept."""
         rows = self.run_lines().where("l_suppkey % 11 <> 7")
         kind = F.when(F.col("l_suppkey") % 5 == 0, "none").when(F.col("l_suppkey") % 5 == 1, "adjacent").otherwise("direct")
         n = (F.col("l_partkey") % 4).cast("int")
@@ -93,7 +100,7 @@ class Tables:
             "run_id", F.col("ordinal").alias("pos"), "requirement_id", (kind != "none").alias("met"), kind.alias("match_type"), spans.alias("evidence_spans"),
             F.lit(None).cast("decimal(6,4)").alias("corroboration"), F.when(severity == "high", dec("0")).when(severity == "suspicious", dec("0.5")).otherwise(dec("1")).alias("integrity_factor"),
             severity.alias("severity"), ((F.col("l_partkey") % 101) / 100).alias("confidence"), F.lit("r").alias("rationale"),
-            F.when((kind == "adjacent") & (F.col("l_partkey") % 7 != 0), F.lit("related")).alias("adjacency_note"),
+            F.when((kind == "adjacent") & (F.col("l_partkey") % 7 != 0), F.lit("related")).alias("adjacency_note"), *keys,
         )
 
     def raw_claims(self) -> DataFrame:
@@ -104,8 +111,7 @@ class Tables:
             F.sequence(F.lit(0), (F.col("l_suppkey") % 3).cast("int")),
             lambda k: F.concat_ws("-", "doc_id", F.when(k == 0, F.col("l_partkey") % 12).when(k == 1, F.col("l_suppkey") % 40).otherwise(F.col("l_partkey") % 5)),
         )
-        base = self.claims().join(self.run_lines().select("requirement_id", "l_partkey", "l_suppkey", "l_orderkey"), "requirement_id")
-        return base.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return self.claims("l_partkey", "l_suppkey", "l_orderkey").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
             "run_id", "doc_id", "pos", "requirement_id", "met", "match_type", cites.alias("evidence_spans"), "confidence", "rationale", "adjacency_note"
         )
 
