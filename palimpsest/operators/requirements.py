@@ -39,13 +39,12 @@ def normalize_job_text(df: DataFrame, column: str = "raw_text", max_tokens: int
     """Adds normalized_text, sha256, zero_width_count, bidi_count, token_count, boilerplate and reject_code to every row."""
     rows = tx.nfkc_column(df.withColumn("nfkc", F.col(column)), "nfkc")
     nfkc = F.col("nfkc")
-    bare = tx.without(nfkc, tx.ZERO_WIDTH + tx.BIDI)
-    rows = rows.withColumns({"zero_width_count": tx.count_of(nfkc, tx.ZERO_WIDTH), "bidi_count": tx.count_of(nfkc, tx.BIDI), "nfkc": bare})
-    rows = rows.withColumn("nfkc", F.when(nfkc.contains("\r"), F.regexp_replace(nfkc, r"\r\n?", "\n")).otherwise(nfkc))
-    rows = rows.withColumn("normalized_text", tx.strip(F.when(nfkc.contains("\n\n\n"), F.regexp_replace(nfkc, r"\n{3,}", "\n\n")).otherwise(nfkc))).drop("nfkc")
-    rows = rows.withColumn("token_count", tx.token_estimate(F.col("normalized_text")))
+    rows = tx.once(rows, zero_width_count=tx.count_of(nfkc, tx.ZERO_WIDTH), bidi_count=tx.count_of(nfkc, tx.BIDI), nfkc=tx.without(nfkc, tx.ZERO_WIDTH + tx.BIDI))
+    rows = tx.once(rows, nfkc=F.when(nfkc.contains("\r"), F.regexp_replace(nfkc, r"\r\n?", "\n")).otherwise(nfkc))
+    rows = tx.once(rows, normalized_text=tx.strip(F.when(nfkc.contains("\n\n\n"), F.regexp_replace(nfkc, r"\n{3,}", "\n\n")).otherwise(nfkc))).drop("nfkc")
+    rows = tx.once(rows, token_count=tx.token_estimate(F.col("normalized_text")))
     reject = F.when(tx.is_blank(F.col(column)) | tx.is_blank(F.col("normalized_text")), "invalid_input").when(F.col("token_count") > max_tokens, "token_limit_exceeded")
-    rows = rows.withColumn("reject_code", reject)
+    rows = tx.once(rows, reject_code=reject)
     kept = F.col("reject_code").isNull()
     return rows.withColumns({
         "normalized_text": F.when(kept, F.col("normalized_text")), "sha256": F.when(kept, F.sha2("normalized_text", 256)),

@@ -46,7 +46,7 @@ def boilerplate_spans(t):
 @query(sql("""select job_id, is_dup as is_duplicate, case when is_dup then first end as duplicate_of from (
     select job_id, sha256(t) as sha, first_value(job_id) over w as first, row_number() over w > 1 as is_dup from judged where reject_code is null window w as (partition by user_id % 5, sha256(t) order by created_at, job_id))""", **PARTS))
 def text_dedup(t):
-    rows = normalized(t).where("reject_code is null").withColumn("user_id", F.col("user_id") % 5)
+    rows = tx.once(normalized(t).where("reject_code is null"), sha256=F.col("sha256")).withColumn("user_id", F.col("user_id") % 5)
     return dedup.first_by_hash(rows, ["user_id", "sha256"], ["created_at", "job_id"]).select("job_id", "is_duplicate", "duplicate_of")
 
 

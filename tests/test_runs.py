@@ -40,3 +40,10 @@ def test_scores_of_ticked_sets(spark):
 def test_rows_of_a_run_move_once(spark, name, most):
     plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= most
+
+
+@pytest.mark.parametrize("name", ["text_dedup", "quote_leaks", "extraction_delta_exact"])
+def test_texts_are_not_worked_out_again_by_filters(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if re.match(r"[\s:+|-]*Filter ", line)]
+    assert filters and not [f for f in filters if re.search(r"regexp_replace\(|replace\(|sha2\(", f)]
