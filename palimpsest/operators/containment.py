@@ -71,12 +71,14 @@ def contained(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: s
 
     Quotes that no text contains have no row; null and short quotes and null texts find nothing; texts of one id are one document.
     """
-    asked = quotes.select(tx.collapse(F.col(quote)).alias("quote")).where(F.char_length("quote") >= least).distinct()
-    whole = texts.select(F.col(doc).alias("doc"), tx.collapse(F.col(text)).alias("whole")).where(F.char_length("whole") >= least)
-    held = with_anchors(whole, "doc", "whole", least)
+    asked = tx.once(quotes.select(quote), quote=tx.collapse(F.col(quote))).select("quote").where(F.char_length("quote") >= least).distinct()
+    whole = tx.once(texts.select(F.col(doc).alias("doc"), F.col(text).alias("whole")), whole=tx.collapse(F.col("whole"))).where(F.char_length("whole") >= least)
+    anchored = with_anchors(asked, "quote", "quote", least)
+    # only anchors that some quote has are counted and kept
+    held = with_anchors(whole, "doc", "whole", least).join(anchored.select("anchor").distinct(), "anchor", "left_semi")
     often = held.groupBy("anchor").agg(F.count("*").alias("often"))
     # the rarest anchor of a quote that some text has; a quote with an anchor that none has is in none
-    own = with_anchors(asked, "quote", "quote", least).join(often, "anchor", "left")
+    own = anchored.join(often, "anchor", "left")
     rarest = own.groupBy("quote").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "anchor", "place")).alias("a")).where("a.often > 0")
     keyed = rarest.select("quote", F.col("a.anchor").alias("anchor"), F.col("a.place").alias("inside"))
     met = held.join(keyed, "anchor").select("doc", (F.col("place") - F.col("inside")).alias("begin"), "quote").where("begin >= 0")

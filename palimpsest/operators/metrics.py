@@ -217,7 +217,7 @@ def extraction_quality(truth: DataFrame, said: DataFrame, least: float = 0.5) ->
 def quote_leaks(templates: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """Quotes (template_id, body) that texts (doc_id, text) contain anywhere: template_id, n_documents, first_doc."""
     found = contained(templates, texts, "body", least=least)
-    return templates.select("template_id", tx.collapse(F.col("body")).alias("quote")).join(found, "quote").select("template_id", "n_documents", "first_doc")
+    return tx.once(templates.select("template_id", "body"), quote=tx.collapse(F.col("body"))).join(found, "quote").select("template_id", "n_documents", "first_doc")
 
 
 def stale_runs(runs: DataFrame, current: DataFrame) -> DataFrame:
