@@ -56,7 +56,7 @@ def page_texts(ocr_lines: DataFrame) -> DataFrame:
 
 def comparable_lines(lines: DataFrame) -> DataFrame:
     rows = tx.nfkc_column(lines, "text")
-    return rows.withColumn("norm", tx.comparison_form(F.col("text"))).where(F.char_length("norm") >= LEAST_LENGTH)
+    return tx.once(rows, norm=tx.comparison_form(F.col("text"))).where(F.char_length("norm") >= LEAST_LENGTH)
 
 
 def _words(text: Column) -> Column:
