@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -105,6 +106,33 @@ def nfkc_column(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(_nfkc(F.when(other, F.col(column))), F.col(column)))
 
 
+#: What is no word character, but for blanks; and the bytes of Latin-1, where that is a table.
+_OTHER = re.compile(r"[^\w ]+")
+_LATIN_WORDS = bytes(k if chr(k).isalnum() or k == ord("_") else ord(" ") for k in range(256))
+
+
+def compared_form(text: str) -> str:
+    """`comparison_form` of any text, which is normalised first."""
+    text = unicodedata.normalize("NFKC", text)
+    try:
+        return b" ".join(text.casefold().encode("latin-1").translate(_LATIN_WORDS).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        return " ".join(filter(None, _OTHER.sub(" ", text).casefold().split(" ")))
+
+
+@F.pandas_udf(StringType())
+def _compared(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else compared_form(t))
+
+
+_compared = _compared.asNondeterministic()
+
+
+def compared(df: DataFrame, column: str) -> DataFrame:
+    """Puts a column into `comparison_form`, NFKC included, in one pass through Arrow: a pattern in Spark takes ten times as long over whole texts."""
+    return df.withColumn(column, _compared(column))
+
+
 def excerpt(text: Column, most: int = 400) -> Column:
     one = collapse(text)
     return F.when(F.char_length(one) > most, F.concat(F.substring(one, 1, most - 1), F.lit("…"))).otherwise(one)

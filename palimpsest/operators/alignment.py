@@ -1,8 +1,9 @@
 """Lines of the text layer against what OCR reads on the same page.
 
 Natively: a line that occurs in a candidate (or the other way round), or whose words include a candidate's (or the other way round), aligns
-perfectly by definition.  What is left goes to an Arrow function line by line, whole, however long: runs of three characters give each
-candidate of the page an upper bound, the most promising one is compared first, and the others only where their bound exceeds its ratio.
+perfectly by definition.  For that the OCR lines alone and the longest runs tell as much as all runs: what occurs in a run occurs in each
+longer one around it, and a line that holds a run holds the lines in it.  What is left goes to an Arrow function line by line, whole,
+however long (`functions/fuzzy.py`).
 
 Pages stay together up to there, so a page's lines and candidates must fit a task; the lines are dealt out anew for the comparison.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as tx
 
-LEAST_LENGTH, JOINED = 12, 3
+LEAST_LENGTH, JOINED, BESIDE = 12, 3, 1 << 23
 PAGE = ["doc_id", "page"]
 
 
@@ -32,11 +33,11 @@ def _by_page(df: DataFrame) -> DataFrame:
 
 
 def _read(ocr_lines: DataFrame) -> DataFrame:
-    return _by_page(tx.nfkc_column(ocr_lines, "text").select(*PAGE, "line_no", tx.comparison_form(F.col("text")).alias("norm")))
+    return _by_page(tx.compared(ocr_lines, "text").select(*PAGE, "line_no", F.col("text").alias("norm")))
 
 
 def ocr_candidates(ocr_lines: DataFrame) -> DataFrame:
-    """Each OCR line and each run of two or three, in comparison form, and where it stands in the page's text (`page_texts`)."""
+    """Each OCR line and each run of two or three, in comparison form, and where it stands in the page's text: the lines joined by blanks."""
     along = Window.partitionBy(*PAGE).orderBy("line_no")
     own = _read(ocr_lines)
     before = F.coalesce(F.sum(F.char_length("norm") + 1).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -48,15 +49,14 @@ def ocr_candidates(ocr_lines: DataFrame) -> DataFrame:
     return out.select(*PAGE, "line_no", F.col("width") + 1, start.alias("start"), F.trim("candidate").alias("candidate")).toDF(*PAGE, "line_no", "width", "start", "candidate").where("candidate <> ''")
 
 
-def page_texts(ocr_lines: DataFrame) -> DataFrame:
-    """(doc_id, page, page_text): the OCR lines of a page in comparison form, joined by blanks."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "norm"))), lambda x: x["norm"])
-    return _read(ocr_lines).groupBy(*PAGE).agg(F.array_join(ordered, " ").alias("page_text"))
+def pages_read(ocr_lines: DataFrame) -> DataFrame:
+    """(doc_id, page, read): the OCR lines of a page in comparison form, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "norm")))
+    return _read(ocr_lines).groupBy(*PAGE).agg(F.transform(ordered, lambda x: x["norm"]).alias("read"))
 
 
 def comparable_lines(lines: DataFrame) -> DataFrame:
-    rows = tx.nfkc_column(lines, "text")
-    return tx.once(rows, norm=tx.comparison_form(F.col("text"))).where(F.char_length("norm") >= LEAST_LENGTH)
+    return tx.compared(lines.withColumn("norm", F.col("text")), "norm").where(F.char_length("norm") >= LEAST_LENGTH)
 
 
 def _words(text: Column) -> Column:
@@ -69,40 +69,53 @@ def _within(words: Column, others: Column, text: Column) -> Column:
     return ends & (F.size(F.array_except(words, others)) == 0)
 
 
-def _perfect(line: Column, words: Column, found: Column) -> Column:
-    """Whether some candidate scores 100 by definition.  Most lines stand in one, so all candidates are looked through for that first."""
-    held = F.exists(found, lambda c: line.contains(c["text"]) | c["text"].contains(line))
-    return held | F.exists(found, lambda c: _within(words, c["words"], c["text"]) | _within(c["words"], words, line))
+def _perfect(line: Column, words: Column, alone: Column, runs: Column) -> Column:
+    """Whether some candidate scores 100 by definition.  Most lines stand in one, so that is looked for first."""
+    held = F.exists(runs, lambda c: c["text"].contains(line)) | F.exists(alone, lambda c: line.contains(c["text"]))
+    return held | F.exists(runs, lambda c: _within(words, c["words"], c["text"])) | F.exists(alone, lambda c: _within(c["words"], words, line))
 
 
-def _beside_candidates(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Comparable lines of pages with candidates: `aligned`, and `found`, the page's candidates."""
-    place = F.struct("start", F.col("candidate").alias("text"), _words(F.col("candidate")).alias("words"))
-    some = candidates.groupBy(*PAGE).agg(F.collect_list(place).alias("found"))
+def _beside_pages(lines: DataFrame, ocr_lines: DataFrame) -> DataFrame:
+    """Comparable lines of pages with candidates: `aligned`, and `read`, the page's OCR lines."""
+    place = lambda text: F.struct(text.alias("text"), _words(text).alias("words"))
+    longest = F.transform(F.sequence(F.lit(1), F.greatest(F.size("read") - JOINED + 1, F.lit(1))), lambda k: place(F.array_join(F.slice("read", k, JOINED), " ")))
+    some = pages_read(ocr_lines).where(F.exists("read", lambda x: x != ""))
+    some = tx.once(some, alone=F.transform(F.filter("read", lambda x: x != ""), place), runs=longest)
     own = _by_page(lines.select(*PAGE, "line_no", "norm")).withColumn("words", _words(F.col("norm")))
-    return own.join(some, PAGE).withColumn("aligned", _perfect(F.col("norm"), F.col("words"), F.col("found")))
+    return own.join(some, PAGE).withColumn("aligned", _perfect(F.col("norm"), F.col("words"), F.col("alone"), F.col("runs")))
 
 
-def exact_alignment(lines: DataFrame, candidates: DataFrame) -> DataFrame:
+def exact_alignment(lines: DataFrame, ocr_lines: DataFrame) -> DataFrame:
     """Comparable lines of pages with candidates, with `aligned`: whether a candidate scores 100 by definition."""
-    return _beside_candidates(lines, candidates).select(*PAGE, "line_no", "norm", "aligned")
+    return _beside_pages(lines, ocr_lines).select(*PAGE, "line_no", "norm", "aligned")
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of open lines; those of several batches are compared together, as many as `BESIDE` characters of their pages."""
+    held: list[tuple[pa.RecordBatch, list[fuzzy.Line | None]]] = []
+    size = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        found = iter(fuzzy.best_ratios([x for _, told in held for x in told if x is not None]))
+        for b, told in held:
+            scores = [100.0 if x is None else next(found) for x in told]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*PAGE, "line_no", "score"])
+
     for b in batches:
-        rows = zip(*(b.column(c).to_pylist() for c in ("norm", "page_text", "places")))
-        told = [None if places is None else fuzzy.Line(norm, text, [(p["start"], p["end"]) for p in places]) for norm, text, places in rows]
-        found = iter(fuzzy.best_ratios([x for x in told if x is not None]))
-        scores = [100.0 if x is None else next(found) for x in told]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in (*PAGE, "line_no")] + [pa.array(scores, pa.float64())], names=[*PAGE, "line_no", "score"])
+        rows = zip(*(b.column(c).to_pylist() for c in ("norm", "read")))
+        told = [None if read is None else fuzzy.Line(norm, *fuzzy.joined(read, JOINED)) for norm, read in rows]
+        held.append((b.select([*PAGE, "line_no"]), told))
+        size += sum(len(x.page) for x in told if x is not None)
+        if size > BESIDE:
+            yield from done()
+            held, size = [], 0
+    yield from done()
 
 
 def alignment_scores(lines: DataFrame, ocr_lines: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, score) of every comparable line on pages with OCR text."""
-    told = _beside_candidates(comparable_lines(lines), ocr_candidates(ocr_lines)).join(page_texts(ocr_lines), PAGE)
-    open_ = ~F.col("aligned")
-    places = F.transform("found", lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.char_length(p["text"])).alias("end")))
-    slim = told.select(*PAGE, "line_no", *[F.when(open_, c).alias(n) for c, n in ((F.col("norm"), "norm"), (F.col("page_text"), "page_text"), (places, "places"))])
+    told = _beside_pages(comparable_lines(lines), ocr_lines)
+    slim = told.select(*PAGE, "line_no", *[F.when(~F.col("aligned"), F.col(c)).alias(c) for c in ("norm", "read")])
     kind = lines.schema["doc_id"].dataType.simpleString()
     return slim.repartition(_tasks(slim), *PAGE, "line_no").mapInArrow(_scored, f"doc_id {kind}, page int, line_no int, score double")
 

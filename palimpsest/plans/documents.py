@@ -221,7 +221,7 @@ ALIGNED = f"select s.doc_id, s.page, s.span_no as line_no, {_norm('text')} as no
 @query(sql("""select doc_id, page, line_no, exists (select 1 from cands c where c.doc_id = l.doc_id and c.page = l.page and (contains(l.norm, c.candidate) or contains(c.candidate, l.norm)
     or list_has_all(string_split(l.norm, ' '), string_split(c.candidate, ' ')) or list_has_all(string_split(c.candidate, ' '), string_split(l.norm, ' ')))) as aligned from comparable l""", "spans", "ocr", **OCR_PARTS, comparable=ALIGNED))
 def extraction_delta_exact(t):
-    return alignment.exact_alignment(alignment.comparable_lines(t.lines()), alignment.ocr_candidates(t.ocr_lines())).drop("norm")
+    return alignment.exact_alignment(alignment.comparable_lines(t.lines()), t.ocr_lines()).drop("norm")
 
 
 @query()

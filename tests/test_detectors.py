@@ -213,3 +213,56 @@ def test_comparison_form_of_every_latin_letter(spark):
     want = [None if x is None else " ".join(re.sub(r"[^\w\s]", " ", x).casefold().split()) for x in texts]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", tx.comparison_form(F.col("x")).alias("y")).orderBy("k").collect()
     assert [(k, x, r.y) for (k, x), r in zip(enumerate(texts), rows) if r.y != want[k] and not (x and 0x1C <= ord(x[1]) <= 0x1F)] == []
+
+
+def test_common_subsequences_of_many_pairs():
+    rng = random.Random(12)
+    said = lambda n: "".join(rng.choice("ab cé\U0001f600") for _ in range(n))
+    pairs = [(said(rng.choice([0, 1, 5, 62, 63, 64, 126, 127, 200])), said(rng.choice([0, 3, 63, 64, 150, 400]))) for _ in range(300)]
+    assert fuzzy.lcs_lengths(pairs) == [fuzzy.lcs_length(a, b) for a, b in pairs]
+    assert fuzzy.lcs_lengths([]) == []
+
+
+def test_runs_of_a_page_share_their_work(monkeypatch):
+    """A run is combed on from the shorter one that begins where it does: so each OCR line is combed three times at most, not six."""
+    rng = random.Random(13)
+    said = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    line, read = said(90), [said(8) for _ in range(20)] + ["", said(3), ""]
+    page, places = fuzzy.joined(read, 3)
+    cells, strands = [], fuzzy._strands
+    monkeypatch.setattr(fuzzy, "_strands", lambda pairs, above=None: cells.append(sum(len(a) * len(b) for a, b in pairs)) or strands(pairs, above))
+    got = fuzzy.best_ratios([fuzzy.Line(line, page, places)])[0]
+    assert 0 < sum(cells) <= 3 * len(page) * len(line)
+    runs = [" ".join(read[k : k + w]).strip() for w in (1, 2, 3) for k in range(len(read) - w + 1)]
+    assert {page[s:e] for s, e in places} == set(filter(None, runs))
+    assert got == pytest.approx(max(max(brute_partial(line, c), brute_token_set(line, c)) for c in filter(None, runs)))
+
+
+def test_compared_texts_have_the_comparison_form(spark):
+    texts = [f"A{chr(c)}b  {chr(c).upper()} - {chr(c)}" for c in range(0x20, 0x3000) if not 0xD800 <= c < 0xE000 and c != 0x85] + ["Straße № 5_", "İstanbul ΟΔΥΣΣΕΥΣ", "", " - ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    native = {r.k: r.y for r in tx.nfkc_column(rows, "x").select("k", tx.comparison_form(F.col("x")).alias("y")).collect()}
+    told = {r.k: r.x for r in tx.compared(rows, "x").collect()}
+    newer = [k for k, x in enumerate(texts) if x and not all(unicodedata.ucd_3_2_0.category(c) != "Cn" for c in x)]  # letters that one side may not know yet
+    assert [texts[k] for k in native if k not in newer and native[k] != told[k]] == []
+
+
+def test_native_alignment_tells_the_same_as_all_runs(spark):
+    rng = random.Random(15)
+    said = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(n))
+    ocr = [(1, p, k, rng.choice(["", "--", said(1), said(2), said(4)])) for p in range(30) for k in range(rng.randint(1, 6))]
+    lines = [(1, p, k, 0.0, 0.0, 1.0, 1.0, said(rng.randint(2, 9))) for p in range(30) for k in range(12)]
+    t = tables(spark, [], lines=lines, ocr=ocr)
+    got = {(r.page, r.line_no): r.aligned for r in alignment.exact_alignment(alignment.comparable_lines(t.lines), t.ocr_lines).collect()}
+    found = {}
+    for r in alignment.ocr_candidates(t.ocr_lines).collect():
+        found.setdefault(r.page, []).append(r.candidate)
+    perfect = lambda a, c: a in c or c in a or set(a.split()) <= set(c.split()) or set(c.split()) <= set(a.split())
+    assert got == {(p, k): any(perfect(x, c) for c in found[p]) for _, p, k, *_, x in lines if p in found and len(x) >= 12}
+    assert True in got.values() and False in got.values()
+
+
+def test_partial_ratio_with_a_text_of_over_16384_characters():
+    rng = random.Random(16)
+    a, b = ("".join(rng.choice("etaoin shrdlu") for _ in range(n)).strip() for n in (40, 17_000))
+    assert fuzzy.partial_ratio(a, b) == pytest.approx(brute_partial(a, b))
