@@ -765,3 +765,25 @@ def test_mixture_of_rows_without_ids_is_spread(spark):
     for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame(rows, DOCS).withColumn("doc_id", F.lit(None).cast("long"))):
         sizes = [r["count"] for r in mixing.mix(docs, total=3000.0, partitions=16).groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+
+
+def test_components_of_stars_chains_and_hubs(spark):
+    """By brute force."""
+    rng = random.Random(41)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 60)] + [(200 + k, 300 + rng.randrange(30)) for k in range(60)] + [(400, 400)]
+    root = {}
+    for a, b in pairs:
+        ra, rb = a, b
+        while root.get(ra, ra) != ra:
+            ra = root[ra]
+        while root.get(rb, rb) != rb:
+            rb = root[rb]
+        root[max(ra, rb)] = min(ra, rb)
+        root.setdefault(min(ra, rb), min(ra, rb))
+
+    def top(x):
+        return x if root.get(x, x) == x else top(root[x])
+
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: top(x) for p in pairs for x in p if x != 400}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
